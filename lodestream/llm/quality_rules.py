@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpoint
+
 SYMBOLS = "#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 WINDOW = 5
@@ -109,6 +111,6 @@ def host_verdicts(counts: DataFrame, max_rate: float = 0.5, min_docs: int = 20)
 
 def judge(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
     """The counts of every document with base_failed and kept."""
-    counts = document_counts(docs, host)
+    counts = checkpoint(document_counts(docs, host))  # texts are counted once
     verdicts = host_verdicts(counts, **limits).select("host", "host_rate", "host_kept")
     return counts.join(verdicts, "host", "left").select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & F.coalesce("host_kept", F.lit(True))).alias("kept"), F.col("host_rate"))
