@@ -78,7 +78,7 @@ def detect_lang(s: Column, hint: Column | None = None) -> Column:
     t = s.substr(1, 2000)
     n = {k: F.regexp_count(t, F.lit(f"[{r}]")) for k, r in SCRIPTS.items()}
     letters = F.regexp_count(t, F.lit("[a-zA-Z]"))
-    votes = {k: F.regexp_count(t, F.lit(rf"(?i)\b({'|'.join(w.split())})\b")) for k, w in STOP.items()}
+    votes = {k: F.regexp_count(t, F.lit(rf"(?i)(?<![A-Za-z0-9_])({'|'.join(w.split())})(?![A-Za-z0-9_])")) for k, w in STOP.items()}
     most = F.greatest(*votes.values())
     winner = F.when(most == 0, "en")
     for k, v in votes.items():

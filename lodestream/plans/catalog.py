@@ -1,9 +1,15 @@
 """Registry of the engine's own queries and their SQL."""
 
+from __future__ import annotations
+
+from . import event_queries, text_queries
+
+PAIRS = text_queries.PAIRS | event_queries.PAIRS
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for name, (query, _) in PAIRS.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for name, (_, sql) in PAIRS.items() if sql}
