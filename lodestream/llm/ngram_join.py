@@ -9,8 +9,10 @@ cost: a longer prefix means more postings to scan but asks for more shared token
 1. Documents with equal sets form classes; only the smallest id of a class goes on.
 2. In every token's list each member is paired with the list's smallest id alone, and the pairs that share
    enough are verified: groups of near copies become connected in linear time.
-3. Of the pairs that remain, only those between different components are formed, by a join of the lists
-   that still hold more than one component; the ones that share enough are verified exactly.
+3. Of the pairs that remain, only those between different components matter. Lists that still hold more than
+   one component are cut into blocks, and inside a task each pair of a block is held against a bound from
+   parity bitmaps: tokens that only one of two sets holds flip at most one bit each, so sets that differ in
+   more bits than similar sets may are no pair. Pairs that pass and share enough tokens are verified exactly.
 
 So no link between components is missed, while a group of thousands of near copies never becomes pairs.
 
@@ -40,6 +42,8 @@ MOST_MATCHES, VERIFY_COST = 8, 40.0
 #: Ids up to which a set of ids is broadcast (16 MB at most); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 WORD_CACHE = 500_000
+#: Members of a block of a list, and bits of a parity bitmap.
+SIDE, BITS = 512, 512
 
 
 class _WordHash(dict):
@@ -72,21 +76,28 @@ def _texts(b: pa.RecordBatch):
     return zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True)
 
 
+def parity(s: np.ndarray) -> bytes:
+    """Bitmap in which each token flips one bit."""
+    bits = np.bincount(s & (BITS - 1), minlength=BITS) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
 def _digest_batches(k: int):
-    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "n_shingles", "d1", "d2", "token", "sets")])
+    schema = pa.schema([*((c, pa.int64()) for c in ("doc_id", "n_shingles", "d1", "d2", "token", "sets")), ("bits", pa.binary())])
 
     def frequent(window: dict) -> pa.RecordBatch | None:
         token, count = np.unique(np.concatenate(list(window.values())), return_counts=True)
         hot = count >= HOT_IN_WINDOW
         none = pa.nulls(int(hot.sum()), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(token[hot]), pa.array(count[hot].astype(np.int64))], schema=schema) if hot.any() else None
+        return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(token[hot]), pa.array(count[hot].astype(np.int64)), pa.nulls(len(none), pa.binary())], schema=schema) if hot.any() else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         window, held = {}, 0
         for b in batches:
-            rows = []
+            rows, bits = [], []
             for doc, text in _texts(b):
                 s = shingle_set(text, k)
+                bits.append(parity(s))
                 both = xxhash.xxh3_128_intdigest(s.tobytes())
                 d1, d2 = (both >> 64) - (1 << 63), (both & ((1 << 64) - 1)) - (1 << 63)
                 rows.append((doc, len(s), d1, d2))
@@ -98,7 +109,7 @@ def _digest_batches(k: int):
                             yield hot
                         window, held = {}, 0
             none = pa.nulls(len(rows), pa.int64())
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else ((),) * 4)), none, none], schema=schema)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else ((),) * 4)), none, none, pa.array(bits, pa.binary())], schema=schema)
         if window and (hot := frequent(window)) is not None:
             yield hot
 
@@ -174,6 +185,63 @@ def _verify_batches(num: int, den: int):
     return run
 
 
+def _list_batches(num: int, den: int):
+    """Pairs that the bitmaps allow, from runs of equal (token, lo, hi) in sorted rows; a run may go on in the next batch."""
+    names = ["token", "lo", "hi", "doc", "n", "c", "own"]
+
+    def one(x: dict) -> tuple[np.ndarray, np.ndarray] | None:
+        own = x["own"]
+        left, right = (np.arange(len(own)),) * 2 if x["lo"][0] == x["hi"][0] else (np.flatnonzero(own == x["lo"][0]), np.flatnonzero(own == x["hi"][0]))
+        ok = x["c"][left][:, None] != x["c"][right][None, :]
+        if not ok.any():
+            return None
+        total = x["n"][left][:, None] + x["n"][right][None, :]
+        overlap = -(-num * total // (num + den))
+        small = np.minimum(x["n"][left][:, None], x["n"][right][None, :])
+        i, j = np.nonzero(ok & (overlap <= small))
+        if x["lo"][0] == x["hi"][0]:
+            i, j = i[i < j], j[i < j]
+        most = (total - 2 * overlap)[i, j]
+        i, j = left[i], right[j]
+        flips = np.zeros(len(i), np.int64)
+        for w in range(BITS // 64):
+            flips += np.bitwise_count(x["bits"][i, w] ^ x["bits"][j, w])
+        near = flips <= most
+        return i[near], j[near]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict | None = None
+        none = pa.RecordBatch.from_pydict({"x": pa.array([], pa.int64()), "y": pa.array([], pa.int64())})
+
+        def runs(x: dict, last: bool):
+            n = len(x["token"])
+            new = np.flatnonzero((x["token"][1:] != x["token"][:-1]) | (x["lo"][1:] != x["lo"][:-1]) | (x["hi"][1:] != x["hi"][:-1])) + 1
+            edges = [0, *new.tolist(), n]
+            done = edges if last else edges[:-1]
+            out = ([], [])
+            for a, b in zip(done, done[1:], strict=False):
+                if b - a > 1 and (got := one({k: v[a:b] for k, v in x.items()})) is not None:
+                    out[0].append(x["doc"][a:b][got[0]])
+                    out[1].append(x["doc"][a:b][got[1]])
+            rest = None if last else {k: v[edges[-2] :] for k, v in x.items()}
+            found = pa.RecordBatch.from_pydict({"x": pa.array(np.concatenate(out[0])), "y": pa.array(np.concatenate(out[1]))}) if out[0] else none
+            return found, rest
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = {k: b.column(k).to_numpy(zero_copy_only=False) for k in names}
+            x["bits"] = np.frombuffer(b"".join(b.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+            if held is not None:
+                x = {k: np.concatenate((held[k], x[k])) for k in x}
+            found, held = runs(x, False)
+            yield found
+        if held is not None:
+            yield runs(held, True)[0]
+
+    return run
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the threshold."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
@@ -193,7 +261,7 @@ def _ceil_share(n, num: int, den: int):
 def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id of every document; sets link when den * shared >= num * union."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    first = checkpoint(base.mapInArrow(_digest_batches(k), "doc_id long, n_shingles long, d1 long, d2 long, token long, sets long"))
+    first = checkpoint(base.mapInArrow(_digest_batches(k), "doc_id long, n_shingles long, d1 long, d2 long, token long, sets long, bits binary"))
     rows = first.where("token IS NULL").select("doc_id", "n_shingles", "d1", "d2")
     classes = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
     hot = first.where("token IS NOT NULL").groupBy("token").agg(F.sum("sets").alias("sets")).orderBy(F.desc("sets"), "token").limit(HOT).toPandas().sort_values("token")
@@ -222,12 +290,17 @@ def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFram
 
     comp = connected_components(linked).select(F.col("id").alias("doc"), F.col("component").alias("c"))
     placed = shared.select("token", "d", F.col("d.doc").alias("doc")).join(comp, "doc", "left").select("token", "d", F.coalesce("c", "doc").alias("c"))
-    mixed = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
-    placed = checkpoint(placed.join(mixed, "token"))
-    x = placed.select("token", F.col("d").alias("x"), F.col("c").alias("cx"))
-    y = placed.select(F.col("token").alias("t"), F.col("d").alias("y"), F.col("c").alias("cy"))
-    cross = x.join(y, (F.col("token") == F.col("t")) & (F.col("cx") < F.col("cy")) & similar_size("x", "y")).groupBy("x", "y").count()
-    cross = cross.where(F.col("count") >= needed("x", "y")).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"))
+    mixed = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("members")).where("lo < hi").select("token", "members")
+    bits = first.where("token IS NULL").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("doc")).agg(F.first("bits").alias("bits"))
+    placed = checkpoint(placed.join(mixed.withColumn("parts", F.ceil(F.col("members") / SIDE).cast("int")), "token").join(bits, F.col("d.doc") == bits.doc).select("token", "parts", "d", "c", "bits"))
+    own = placed.select("token", F.col("d.doc").alias("doc"), F.col("d.n").cast("long").alias("n"), "c", "bits", "parts", F.pmod(F.xxhash64("d.doc"), F.col("parts")).cast("int").alias("own"))
+    own = own.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    group = ["token", "lo", "hi"]
+    own = own.select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "doc", "n", "c", "own", "bits").repartition(*group).sortWithinPartitions(*group)
+    cross = own.mapInArrow(_list_batches(num, den), "x long, y long").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).groupBy("a", "b").count()
+    sizes = checkpoint(placed.select("d").distinct())
+    cross = cross.join(sizes.select(F.col("d").alias("x")), F.col("a") == F.col("x.doc")).join(sizes.select(F.col("d").alias("y")), F.col("b") == F.col("y.doc"))
+    cross = cross.where(F.col("count") >= needed("x", "y")).select("a", "b")
     more = _verified(checkpoint(cross.join(tried, ["a", "b"], "left_anti")), base, k, num, den)
 
     final = connected_components(linked.unionByName(more)).select(F.col("id").alias("rep"), "component")
