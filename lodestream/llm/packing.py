@@ -28,8 +28,8 @@ from .common import checkpoint
 
 CAPACITY = 2048
 BLOCK = 4096
-#: Entries of a worker's cache of encoded pre-tokens.
-CACHE = 400_000
+#: Entries of each of the two generations of a worker's cache of encoded pre-tokens.
+CACHE = 350_000
 #: Beyond these letters two libraries' Unicode tables could differ; such texts take the slower library whole.
 _PLAIN = re.compile("[^\x00-ɏ]| \\s|\\s ")
 
@@ -49,20 +49,25 @@ class Ids(dict):
         self.whole = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
+        self.old: dict = {}
         self.special = [t["content"] for t in said["added_tokens"]]
         # the same vocabulary and merge order for the faster library: ids of byte-level pieces are their merge ranks
         byte = {c: b for b, c in enumerate(_byte_letters())}
         ranks = {bytes(byte[c] for c in piece): i for piece, i in said["model"]["vocab"].items() if piece not in self.special}
         self.fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.marks = {m: self._raw(m) for m in ".,"}
 
     def __missing__(self, word: str) -> bytes:
-        stem = word[:-1]
-        if len(word) > 1 and word[-1] in ".," and stem.isalpha() and stem in self:  # letters and a mark are separate pre-tokens
-            ids = self[stem] + self._raw(word[-1])
-        else:
-            ids = self._raw(" " + word)
+        ids = self.old.get(word)
+        if ids is None:
+            stem, mark = word[:-1], word[-1:]
+            if stem.isalpha() and mark in self.marks:  # letters and a mark are separate pre-tokens
+                ids = self[stem] + self.marks[mark]
+            else:
+                ids = self._raw(" " + word)
         if len(word) <= 64:
-            if len(self) >= CACHE:
+            if len(self) >= CACHE:  # the older half goes
+                self.old = dict(self)
                 self.clear()
             self[word] = ids
         return ids
