@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import checkpoint, connected_components
 
 BLOCKS, LEAST, SIDE = 4, 16, 256
+#: Lists up to SMALL members share one product, PAIRS pairs at a time.
+SMALL, PAIRS = 48, 20_000
 
 
 def tail(x: float) -> float:
@@ -109,6 +111,20 @@ def _decode_batches(b: int, alpha: float):
     return run
 
 
+def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest row that each of n rows reaches through the links i - j."""
+    i, j = np.concatenate((i, j)), np.concatenate((j, i))
+    root = np.arange(n)
+    while len(i):
+        new = root.copy()
+        np.minimum.at(new, i, root[j])
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    return root
+
+
 def compare(units: np.ndarray, filters: list[np.ndarray], own: int, copies: np.ndarray, side: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(links gained, a member of the same component) of each member in one list. side: members pair across 0 and 1 only; None: all pair."""
     n = len(units)
@@ -124,49 +140,116 @@ def compare(units: np.ndarray, filters: list[np.ndarray], own: int, copies: np.n
             m[np.repeat(np.arange(len(at)), [int((filters[i] < own).sum()) for i in at]), flat] = 1
             close[np.ix_(at, at)] &= (m @ m.T) == 0  # pairs that already met in a smaller filter
     gained = close @ copies
-    root = np.arange(n)
-    if close.any():
-        rows, cols = np.nonzero(close)
-        while True:
-            new = root.copy()
-            np.minimum.at(new, rows, root[cols])
-            new = new[new]
-            if (new == root).all():
-                break
-            root = new
+    root = spanning(n, *np.nonzero(close))
     return gained, root
 
 
 _OUT = pa.schema([("rep", pa.int64()), ("gained", pa.int64()), ("other", pa.int64())])
+_KEY = ("label", "filter", "lo", "hi")
+
+
+def _met_before(pairs: tuple[np.ndarray, np.ndarray], own: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Which pairs of rows share a filter smaller than ``own``; row i's filters are flat[starts[i]:starts[i + 1]]."""
+    keys = []
+    for rows in pairs:
+        n = np.diff(starts)[rows]
+        pair = np.repeat(np.arange(len(rows)), n)
+        f = flat[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[rows], n)]
+        early = f < own[pair]
+        keys.append(np.rec.fromarrays((pair[early], f[early]), names="p,f"))
+    both = np.concatenate(keys)
+    both = both[np.lexsort((both["f"], both["p"]))]
+    twice = (both["p"][1:] == both["p"][:-1]) & (both["f"][1:] == both["f"][:-1])
+    out = np.zeros(len(own), bool)
+    out[both["p"][1:][twice]] = True
+    return out
+
+
+def small_lists(units: np.ndarray, sizes: np.ndarray, length: np.ndarray, side: np.ndarray, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (i < j) inside consecutive lists of ``sizes`` rows; mixed lists pair across sides only."""
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    after = ends - np.arange(len(units)) - 1
+    i = np.repeat(np.arange(len(units)), after)
+    j = i + 1 + np.arange(after.sum()) - np.repeat(np.cumsum(after) - after, after)
+    ok = (length[i] == length[j]) & (~mixed[i] | (side[i] != side[j]))
+    return i[ok], j[ok]
+
+
+def _lists(x: dict, sizes: np.ndarray, threshold: float) -> pa.RecordBatch | None:
+    """Links of complete lists. Lists up to SMALL are compared together, longer ones by a product of their own."""
+    units, starts, flat = x["units"], x["starts"], x["flat"]
+    mixed = x["lo"] < x["hi"]
+    found: list[tuple] = []
+    small = sizes <= SMALL
+    at = np.flatnonzero(np.repeat(small, sizes))
+    if len(at):
+        i, j = small_lists(units[at], sizes[small], x["length"][at], x["side"][at], mixed[at])
+        close = np.concatenate([np.einsum("nd,nd->n", units[at[i[k : k + PAIRS]]], units[at[j[k : k + PAIRS]]]) >= threshold for k in range(0, len(i), PAIRS)]) if len(i) else np.zeros(0, bool)
+        i, j = at[i[close]], at[j[close]]
+        if len(i):
+            new = ~np.concatenate([_met_before((i[k : k + PAIRS], j[k : k + PAIRS]), x["filter"][i[k : k + PAIRS]], flat, starts) for k in range(0, len(i), PAIRS)])
+            i, j = i[new], j[new]
+        if len(i):
+            gained = np.bincount(i, x["copies"][j], len(units)) + np.bincount(j, x["copies"][i], len(units))
+            found.append((gained.astype(np.int64), spanning(len(units), i, j)))
+    for a, b in zip(np.cumsum(sizes)[~small] - sizes[~small], np.cumsum(sizes)[~small], strict=True):
+        for d in np.unique(x["length"][a:b]):
+            rows = a + np.flatnonzero(x["length"][a:b] == d)
+            gained, root = compare(units[rows], [flat[starts[r] : starts[r + 1]] for r in rows], int(x["filter"][a]), x["copies"][rows], x["side"][rows] if mixed[a] else None, threshold)
+            if gained.any():
+                all_gained, all_root = np.zeros(len(units), np.int64), np.arange(len(units))
+                all_gained[rows], all_root[rows] = gained, rows[root]
+                found.append((all_gained, all_root))
+    if not found:
+        return None
+    parts = [(np.flatnonzero(g), g, r) for g, r in found]
+    columns = [np.concatenate(c) for c in ([x["rep"][k] for k, _, _ in parts], [g[k] for k, g, _ in parts], [x["rep"][r[k]] for k, _, r in parts])]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=_OUT)
+
+
+def _columns(b: pa.RecordBatch) -> dict:
+    """The rows as arrays; vectors shorter than the longest are padded with zeros."""
+    x = {k: b.column(k).to_numpy(zero_copy_only=False) for k in (*_KEY, "rep", "copies", "side")}
+    vectors, filters = b.column("embedding"), b.column("filters")
+    x["length"] = vectors.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    units = np.zeros((b.num_rows, int(x["length"].max())))
+    units[np.arange(units.shape[1]) < x["length"][:, None]] = vectors.flatten().to_numpy(zero_copy_only=False)
+    x["units"] = units / np.sqrt(np.einsum("nd,nd->n", units, units))[:, None]
+    x["flat"] = filters.flatten().to_numpy(zero_copy_only=False)
+    x["starts"] = np.concatenate(([0], np.cumsum(filters.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))))
+    return x
+
+
+def _cut(x: dict, a: int, b: int) -> dict:
+    out = {k: v[a:b] for k, v in x.items() if k not in ("flat", "starts")}
+    return out | {"flat": x["flat"][x["starts"][a] : x["starts"][b]], "starts": x["starts"][a : b + 1] - x["starts"][a]}
+
+
+def _joined(x: dict, y: dict) -> dict:
+    wide = max(x["units"].shape[1], y["units"].shape[1])
+    out = {k: np.concatenate((x[k], y[k])) for k in x if k not in ("starts", "units")}
+    out["units"] = np.concatenate([np.pad(z["units"], ((0, 0), (0, wide - z["units"].shape[1]))) for z in (x, y)])
+    return out | {"starts": np.concatenate((x["starts"], y["starts"][1:] + x["starts"][-1]))}
 
 
 def _list_batches(threshold: float):
     """Runs of equal (label, filter, lo, hi) in sorted rows; a run may go on in the next batch."""
 
-    def one(rows: list[dict]) -> pa.RecordBatch | None:
-        by_size: dict[int, list[dict]] = {}
-        for r in rows:
-            by_size.setdefault(len(r["embedding"]), []).append(r)
-        got = []
-        for same in by_size.values():
-            if len(same) > 1:
-                units = np.array([_unit(r["embedding"]) for r in same])
-                gained, root = compare(units, [np.asarray(r["filters"]) for r in same], same[0]["filter"], np.array([r["copies"] for r in same]), np.array([r["side"] for r in same]) if same[0]["lo"] < same[0]["hi"] else None, threshold)
-                got += [(r["rep"], int(g), same[k]["rep"]) for r, g, k in zip(same, gained, root, strict=True) if g]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got, strict=True)], schema=_OUT) if got else None
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        key = None
+        held: dict | None = None
         for b in batches:
-            for r in b.to_pylist():
-                k = (r["label"], r["filter"], r["lo"], r["hi"])
-                if k != key:
-                    if len(held) > 1 and (out := one(held)) is not None:
-                        yield out
-                    held, key = [], k
-                held.append(r)
-        if len(held) > 1 and (out := one(held)) is not None:
+            if not b.num_rows:
+                continue
+            x = _columns(b) if held is None else _joined(held, _columns(b))
+            n = len(x["rep"])
+            new = np.zeros(n - 1, bool)
+            for k in _KEY:
+                new |= x[k][1:] != x[k][:-1]
+            edges = np.concatenate(([0], np.flatnonzero(new) + 1))
+            if edges[-1] and (out := _lists(_cut(x, 0, edges[-1]), np.diff(edges), threshold)) is not None:
+                yield out
+            held = _cut(x, edges[-1], n)
+        if held is not None and (out := _lists(held, np.array([len(held["rep"])]), threshold)) is not None:
             yield out
 
     return run
