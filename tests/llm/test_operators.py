@@ -216,7 +216,8 @@ def test_deobfuscation():
     words = "idiot idiot loser pathetic the and there other moron trash clown".split() * 50
     from collections import Counter
 
-    lm = toxicity.Trigrams(dict(toxicity._grams(Counter(words))))
+    grams = toxicity._grams(Counter(words))
+    lm = toxicity.Trigrams(np.array([toxicity.code(*g) for g in grams]), np.array(list(grams.values())))
     assert toxicity.decode("1d10t", lm) == "idiot" and toxicity.decode("l0s3r", lm) == "loser" and toxicity.decode("iidioooot", lm) == "idiot"
     assert toxicity.decode("m o r o n", lm) == "moron" and "pathetic" in toxicity.restored("p@thet1c!", lm)
 
