@@ -89,3 +89,33 @@ def detect_lang(s: Column, hint: Column | None = None) -> Column:
         .when((n["arabic"] > 3) & t.rlike(f"[{PERSIAN}]"), "fa").when(n["arabic"] > 3, "ar").when(n["ru"] > 3, "ru")
         .when(letters > 10, winner).when(n["han"] > 0, "zh").otherwise(hint)
     )
+
+
+def compact(s: Column) -> Column:
+    """White space as single spaces, without punctuation at the start."""
+    return F.trim(F.regexp_replace(F.regexp_replace(s, r"\s+", " "), r"^[，,。；;：:\-— ]+", ""))
+
+
+def first_line(s: Column, n: int = 120) -> Column:
+    """First line with a visible sign, as an excerpt; empty when there is none."""
+    lines = F.filter(F.transform(F.split(F.coalesce(s, F.lit("")), r"\n+"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
+    return F.coalesce(excerpt(F.get(lines, 0), n), F.lit(""))
+
+
+def terms(s: Column) -> Column:
+    """Distinct terms between commas and line ends, in order."""
+    return F.array_distinct(F.filter(F.transform(F.split(s, "[,，、\n]"), lambda x: F.trim(x)), lambda x: x != ""))
+
+
+def redact(s: Column, n: int = 500) -> Column:
+    """Bot tokens and keys masked."""
+    return F.regexp_replace(F.regexp_replace(s, r"(?i)bot\d+:[a-z0-9_-]+", "bot[REDACTED]"), r"(?i)sk-[a-z0-9_-]+", "sk-[REDACTED]").substr(1, n)
+
+
+def sentences(s: Column, least: int = 4, most: int = 800) -> Column:
+    """Sentences of ``least`` to ``most`` characters in order, each normalised form once."""
+    parts = F.split(s, r"""(?<=[。！？!?；;])\s*|(?<=\.)\s+(?=[A-Z0-9"'])|\n+""")
+    good = F.filter(F.transform(parts, compact), lambda x: F.length(x).between(least, most))
+    keyed = F.filter(F.transform(good, lambda x: F.struct(normalize_text(x).alias("key"), x.alias("text"))), lambda x: x["key"] != "")
+    keys = F.transform(keyed, lambda x: x["key"])
+    return F.transform(F.filter(keyed, lambda x, i: F.array_position(keys, x["key"]) == i + 1), lambda x: x["text"])

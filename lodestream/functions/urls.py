@@ -54,3 +54,11 @@ def public_url_problem(u: Column) -> Column:
         F.when(~F.lower(part(u, 1)).isin("http", "https"), "scheme").when(part(u, 2).contains("@"), "credentials").when(host == "", "host")
         .when(host.rlike(r"(^|\.)(localhost|local|internal)$"), "local").when(private, "private").when(~port.isin("", "80", "443", "8080", "8443"), "port")
     )
+
+
+#: Publishers whose texts are for subscribers.
+PAYWALLS = "ft.com wsj.com economist.com bloomberg.com nytimes.com washingtonpost.com caixin.com theinformation.com barrons.com telegraph.co.uk lemonde.fr haaretz.com nikkei.com".split()
+
+
+def is_paywalled(u: Column) -> Column:
+    return domain(u).rlike("(^|\\.)(" + "|".join(p.replace(".", "\\.") for p in PAYWALLS) + ")$")
