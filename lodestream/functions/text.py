@@ -113,9 +113,6 @@ def redact(s: Column, n: int = 500) -> Column:
 
 
 def sentences(s: Column, least: int = 4, most: int = 800) -> Column:
-    """Sentences of ``least`` to ``most`` characters in order, each normalised form once."""
+    """Sentences of ``least`` to ``most`` characters in order."""
     parts = F.split(s, r"""(?<=[。！？!?；;])\s*|(?<=\.)\s+(?=[A-Z0-9"'])|\n+""")
-    good = F.filter(F.transform(parts, compact), lambda x: F.length(x).between(least, most))
-    keyed = F.filter(F.transform(good, lambda x: F.struct(normalize_text(x).alias("key"), x.alias("text"))), lambda x: x["key"] != "")
-    keys = F.transform(keyed, lambda x: x["key"])
-    return F.transform(F.filter(keyed, lambda x, i: F.array_position(keys, x["key"]) == i + 1), lambda x: x["text"])
+    return F.filter(F.transform(parts, compact), lambda x: F.length(x).between(least, most))
