@@ -32,7 +32,8 @@ DATE_WORD = r"(?i)\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)(?:uary|rua
 DATE_SHORT = (r"(0?[1-9]|1[0-2])月(0?[1-9]|[12]\d|3[01])日", r"\b(0?[1-9]|1[0-2])[\-/.](0?[1-9]|[12]\d|3[01])\b")
 AS_OF_NOW = r"(?i)截至目前|截至发稿|目前为止|\b(?:as of now|so far|to date)\b"
 AS_OF = r"(?i)(?:截至|截止|as of)\s*([^，。；;,.]{2,30})"
-#: Who speaks, before a verb of speech.
+#: Who speaks, before a verb of speech; one verb must not be part of a longer word.
+SPOKEN = "(?<![名简俗])称(?!为|谓|号)"
 SPEAKER = (r"([^，。；;：:\n]{1,36}?)(?:声称|表示|(?<![名简俗])称(?!为|谓|号)|宣布|通报|证实|否认|指责|警告)", r"\b([A-Z][A-Za-z0-9 .'-]{1,50}?)\s+(?:said|stated|claimed|announced|confirmed|denied|warned)\b")
 #: Kinds of sources by adapter and category.
 SOCIAL_ADAPTERS = ("mastodon", "bluesky", "telegramweb")
@@ -86,7 +87,9 @@ def attribution(s: Column, actors: dict[str, dict]) -> Column:
     def said(by: Column, kind: Column, party: Column) -> Column:
         return F.struct(by.alias("claimed_by"), kind.alias("kind"), party.alias("party"))
 
-    spoken = text.compact(F.coalesce(*(F.nullif(F.regexp_extract(s, p, 1), F.lit("")) for p in SPEAKER), F.lit("")))
+    # a scan for the verbs alone is cheap; the pattern with the words before them tries every start, so it runs only behind that
+    verbs = [p[p.rindex("(?:") :] for p in (SPEAKER[0].replace(SPOKEN, "称"), SPEAKER[1])]
+    spoken = text.compact(F.coalesce(*(F.when(s.rlike(v), F.nullif(F.regexp_extract(s, p, 1), F.lit(""))) for v, p in zip(verbs, SPEAKER, strict=True)), F.lit("")))
     own = F.col("is_party") | F.col("statement") & F.col("is_primary")
     rest = F.when(own, said(F.col("source_name"), F.col("kind"), F.col("party_of"))).when(spoken != "", said(spoken, F.lit("unknown"), F.col("party_of"))).otherwise(said(nobody, F.col("kind"), F.col("party_of")))
     parties = {slug: a for slug, a in actors.items() if a["party"]}

@@ -53,3 +53,36 @@ def run_available(spark: SparkSession, path: str, transform: Callable[[DataFrame
 def latest(rows: DataFrame, key: str, *order: str) -> DataFrame:
     """Last row of each key by an explicit order."""
     return rows.withColumn("_k", F.row_number().over(W.partitionBy(key).orderBy(*(F.desc(c) for c in order)))).where("_k = 1").drop("_k")
+
+
+CALL = "user_id long, event_id long, nth long, refused boolean"
+
+
+def rate_limit(calls: DataFrame, seconds: int, most: int, late: str = "7 days") -> DataFrame:
+    """Each call with its place in its key's window and whether it is refused; a stream with state.
+
+    A window starts with the first call after the one before it ended, so it cannot be told from the clock as in
+    ``fixed_window``; the state of a key is the window's start and its count, and goes when the watermark has passed the
+    window. calls: user_id, event_id, ts (a stream). Calls of one key and micro-batch are taken in the order of time; one that comes
+    after its window ended, but within ``late``, counts for the window that is open.
+    """
+    import pandas as pd
+
+    def judge(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        start, count = state.get if state.exists else (None, 0)
+        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        nth = []
+        for at in rows["ts"].astype("datetime64[us]").astype("int64") // 1000:
+            if start is None or at >= start + 1000 * seconds:
+                start, count = int(at), 0
+            count += 1
+            nth.append(count)
+        state.update((start, count))
+        state.setTimeoutTimestamp(max(start + 1000 * seconds, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"].to_numpy(), "nth": nth, "refused": [n > most for n in nth]})
+
+    timed = calls.select("user_id", "event_id", "ts").withWatermark("ts", late)
+    return timed.groupBy("user_id").applyInPandasWithState(judge, CALL, "start long, n long", "append", "EventTimeTimeout")
