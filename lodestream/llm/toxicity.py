@@ -1,7 +1,7 @@
 """Toxicity after noisy-channel deobfuscation.
 
-Words that look disguised (symbols or digits among letters, letters repeated three times or more, letters
-set apart by spaces) become a lattice of characters: a symbol may stand for its letters, a separator for
+Words that look disguised (symbols or digits beside a letter, letters repeated three times or more, three signs or
+more set apart by white space) become a lattice of characters: a symbol may stand for its letters, a separator for
 nothing, a run of one letter for one or two of them, a space for a word's end or nothing. Viterbi decoding
 finds the reading that is cheapest under the channel's costs and a character trigram language model, whose
 counts come from all words of all documents, rare ones too. Restored words and their beginnings are then the features of
@@ -12,7 +12,8 @@ ids); rows held out by the caller never enter. Candidate features are words and
 letters seen in at least ``MIN_TOXIC`` toxic rows of that sample; the ``FEATURES`` most telling ones are kept.
 
 Defined cases: null and empty texts have no feature and score the fitted base rate of such texts; texts of any
-length are read whole; words over 64 characters are not decoded, only looked up; repeated rows score alike;
+length are read whole and words of any length are decoded, in linear time; of tokens with ``://`` the words between
+their marks are taken, and tokens without a letter say nothing; repeated rows score alike;
 without labels of both kinds every score is the smoothed share of toxic labels; an empty table gives an
 empty result; of documents only doc_id and text are read, of labels only doc_id and toxic.
 """
@@ -53,7 +54,7 @@ def code(a: str, b: str, c: str) -> int:
 
 
 _EDGE = ".,;:!?\"'()[]{}<>*-_"
-_SPACED = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
+_SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 _TRIPLE = re.compile(r"(.)\1\1")
 
 
@@ -80,29 +81,36 @@ class Trigrams:
         return self.costs[code(a, b, c)]
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
+def lattice(token: str) -> Iterator[list[tuple[str, float]]]:
     """Readings with channel costs for each stretch of one character."""
-    out = []
     for c, run in groupby(token):
         n = len(list(run))
         if c == " ":
-            out.append([("", 0.3), (" ", 1.5)])
+            yield [("", 0.3), (" ", 1.5)]
         elif c == "*":
-            out.append([("", 1.0), *((v, 2.0) for v in VOWELS)])
+            yield [("", 1.0), *((v, 2.0) for v in VOWELS)]
         elif c in LEET:
-            out.append([(x * k, 1.0 + 0.2 * abs(n - k)) for x in LEET[c] for k in ((1, 2) if n > 1 else (1,))])
+            yield [(x * k, 1.0 + 0.2 * abs(n - k)) for x in LEET[c] for k in ((1, 2) if n > 1 else (1,))]
         elif c in SEPARATORS:
-            out.append([("", 0.5)])
+            yield [("", 0.5)]
         elif n == 1:
-            out.append([(c, 0.0)])
+            yield [(c, 0.0)]
         else:
-            out.append([(c * 2, 0.3 * (n - 2)), (c, 1.0 if n == 2 else 0.3 * (n - 2))])
-    return out
+            yield [(c * 2, 0.3 * (n - 2)), (c, 1.0 if n == 2 else 0.3 * (n - 2))]
+
+
+def _spoken(said: tuple) -> list[str]:
+    parts = []
+    while said:
+        said, text = said
+        parts.append(text)
+    return parts[::-1]
 
 
 def decode(token: str, lm: Trigrams) -> str:
-    """Cheapest reading of a disguised token."""
+    """Cheapest reading of a disguised token; the open paths are bounded by the pairs of last characters, so time is linear."""
     paths: dict[tuple[str, str], tuple[float, tuple]] = {(" ", " "): (0.0, ())}
+    parts: list[str] = []
     for readings in lattice(token):
         new: dict[tuple[str, str], tuple[float, tuple]] = {}
         for (a, b), (cost, said) in paths.items():
@@ -117,26 +125,21 @@ def decode(token: str, lm: Trigrams) -> str:
                 if best is None or total < best[0]:
                     new[x, y] = (total, (said, text) if text else said)
         paths = new
+        if len(paths) == 1:  # all later readings share this beginning
+            ((at, (cost, said)),) = paths.items()
+            parts += _spoken(said)
+            paths = {at: (cost, ())}
     said = min(paths.items(), key=lambda p: p[1][0] + lm.cost(*p[0], " "))[1][1]
-    parts = []
-    while said:
-        said, text = said
-        parts.append(text)
-    return "".join(reversed(parts))
+    return "".join(parts + _spoken(said))
 
 
 def restored(token: str, lm: Trigrams) -> list[str]:
     """Words that a lower-case token stands for."""
     bare = token.strip(_EDGE)
     if bare.isalpha():
-        if not _TRIPLE.search(bare):
-            return [bare]
-        return [bare, decode(bare, lm)] if len(bare) <= LONG else [bare]
-    if len(token) > LONG:
-        return [bare] if bare else []
-    letters = sum(map(str.isalpha, bare))
+        return [bare, decode(bare, lm)] if _TRIPLE.search(bare) else [bare]
     parts = [w for w in re.split(r"[^\w]+|_", bare) if w.isalpha()]
-    if not letters or 2 * letters < len(bare) or "://" in bare:
+    if not any(map(str.isalpha, bare)) or "://" in bare:
         return parts
     # a mark at the end may be a letter or just a mark
     return list({w for t in {bare, token.strip(".,;:?\"'()[]{}")} for w in decode(t, lm).split()}.union(parts))
@@ -184,7 +187,7 @@ class Reader:
                     self.dull.add(w)
             out |= got
         for run in {m[0] for m in _SPACED.finditer(low)}:
-            words = decode(run, self.lm).split()
+            words = decode(" ".join(run.split()), self.lm).split()
             for f in features(words):
                 if self.table is None:
                     out.add(f)

@@ -222,6 +222,20 @@ def test_deobfuscation():
     assert toxicity.decode("m o r o n", lm) == "moron" and "pathetic" in toxicity.restored("p@thet1c!", lm)
 
 
+def test_deobfuscation_without_gates():
+    from collections import Counter
+
+    words = "idiot idiot loser stupid asshole ass you are the and there other moron trash clown".split() * 50
+    grams = toxicity._grams(Counter(words))
+    lm = toxicity.Trigrams(np.array([toxicity.code(*g) for g in grams]), np.array(list(grams.values())))
+    long = "stupid" * 20
+    for token, word in (("1d10t", "idiot"), ("@$$h0l3", "asshole"), ("s--t--u--p--i--d", "stupid"), ("m" * 70 + "oron", "moron"), ("m" + "-" * 70 + "oron", "moron"), ("-".join(long), long)):
+        assert word in toxicity.restored(token, lm) and word in toxicity.Reader(lm, None).text(f"you {token} there"), token
+    for said, word in (("you a s s there", "ass"), ("you\ti\td\ti\to\tt", "idiot"), ("i  d  i  o  t", "idiot"), ("1 d\n1 0 t", "idiot")):
+        assert word in toxicity.Reader(lm, None).text(said), said
+    assert toxicity.decode("-".join("moron" * 4000), lm) == "moron" * 4000
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(8)
     plain = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
