@@ -176,6 +176,15 @@ def test_url_templates_learn_from_labels(spark):
     assert all(r.verdict == ("block" if k % 2 else "allow") for k, r in got.items())
 
 
+@pytest.mark.parametrize("n", (10, 100, 10_000))
+def test_urls_without_labels_are_not_judged_by_their_siblings(spark, n):
+    """Explicit rules block /es/ and /fr/ of a .net host; nothing is known of /en/, of /de/ or of many further branches."""
+    parts = ["es", "fr", "en", "de", *(f"part{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40))]
+    pages = spark.range(n).select(F.col("id").alias("page_id"), F.concat(F.lit("http://a.net/"), F.get(F.array(*map(F.lit, parts)), (F.col("id") % F.when(F.col("id") % 2 == 0, 4).otherwise(len(parts))).cast("int")), F.lit("/"), F.col("id")).alias("url"))
+    got = {(r["branch"], r["verdict"]) for r in url_filter.judge(pages).select(F.split("path", "/")[1].alias("branch"), "verdict").distinct().collect()}
+    assert {b for b, v in got if v == "block"} <= {"es", "fr"} and {v for b, v in got if b in ("es", "fr")} == {"block"}
+
+
 def test_licenses(spark):
     rows = [(1, "Hi.\nLicensed under the Apache License, Version 2.0.\n"), (2, "This work is licensed under the GNU General Public License, version 3. Or, at your option, any later version."), (3, None), (4, "no license here")]
     got = by_id(license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")))
