@@ -191,6 +191,36 @@ def test_licenses(spark):
     assert [got[k].license for k in (1, 2, 3, 4)] == ["Apache-2.0", "GPL-3.0-or-later", None, None]
 
 
+LICENCES = (
+    ("MIT", "// SPDX-License-Identifier: MIT\nint main() {}"),
+    ("GPL-2.0-only WITH Classpath-exception-2.0", "/* SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 */"),
+    ("Apache-2.0", 'Copyright 2020 A\n\nLicensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.'),
+    ("Apache-2.0", "# This is distributed under the terms of the Apache\n# License, v. 2.0\n# see below"),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal in\nthe Software\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY'),
+    ("MIT", "This project is licensed under the MIT License."),
+    ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."),
+    ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or\nmodify it under the terms of the GNU General Public License\nas published by the Free Software Foundation; either version 2\nof the License, or (at your option) any later version."),
+    ("GPL-3.0", "The tool is released under the GNU General Public License,\nversion 3."),
+    ("GPL-2.0", "It is distributed under the GNU GPL v2"),
+    ("GPL", "This program is free software under the\nGNU General Public License."),
+    ("LGPL", "You can redistribute it and/or modify it under the terms of the GNU Lesser\nGeneral Public License"),
+    ("BSD-3-Clause", "All rights reserved.\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted:\n3. Neither the name of the copyright holder nor the names of its\ncontributors may be used to endorse or promote products"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under the Creative Commons\nAttribution-ShareAlike 4.0 International License"),
+    ("CC-BY-NC-4.0", "Texts are licensed under a Creative Commons Attribution-NonCommercial 4.0\nInternational License."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed"),
+    ("Proprietary", "Copyright A. All rights\nreserved."),
+    (None, "This work is licensed under a Creative Commons Attribution 3.0 License"),
+    (None, "It is not licensed under the MIT License."),
+)
+
+
+def test_licenses_of_canonical_texts(spark):
+    got = by_id(license_scan.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(LICENCES)], "doc_id long, text string")))
+    assert [(got[i].license, t) for i, (_, t) in enumerate(LICENCES)] == list(LICENCES)
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(2)
     base = rng.standard_normal((60, 16))
