@@ -7,6 +7,7 @@ returns the packed pieces.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestream.llm import mixing, ngram_join, packing, quality_rules, toxicity
 from lodestream.llm.common import checkpoint
@@ -15,24 +16,36 @@ from lodestream.llm.queries import PACK_TOKENIZER, table, tokenizer
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _only(docs: DataFrame, verdicts: DataFrame, good: str) -> DataFrame:
-    """Documents whose id has a good verdict; rows without an id have none to be found by and stay."""
-    ids = verdicts.where(good).select("doc_id").where("doc_id IS NOT NULL").distinct()
-    kept = docs.select(*COLUMNS).join(ids, "doc_id", "left_semi")
-    return kept.unionByName(docs.select(*COLUMNS).where("doc_id IS NULL")).select(*COLUMNS)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Rows with a key of their own, written so that it stands: ids may be null or repeated."""
+    return checkpoint(docs.select(*COLUMNS).withColumn("key", F.monotonically_increasing_id()))
+
+
+def _by_key(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("doc_id", F.col("key"))
+
+
+def _only(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    return rows.join(keys.select("key"), "key", "left_semi").select(*COLUMNS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, toxicity.judge(docs, table(spark, sf_dir, "labels"), 0.3), "predicted = 0")
+    """Labels are of ids; each row, with or without one, is judged by its own text."""
+    rows = _keyed(docs)
+    return _only(rows, toxicity.judge(rows, table(spark, sf_dir, "labels"), 0.3, carry=("key",)).where("predicted = 0"))
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, quality_rules.judge(docs), "kept")
+    rows = _keyed(docs)
+    return _only(rows, quality_rules.judge(_by_key(rows)).where("kept").withColumnRenamed("doc_id", "key"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: shingles of five words, similarity 0.8."""
-    return _only(docs, ngram_join.join(docs, k=5, num=80, den=100), "doc_id = component_id").dropDuplicates(["doc_id"])
+    """One document of each group of near copies stays, that of the smallest id: shingles of five words, similarity 0.8."""
+    rows = _keyed(docs)
+    groups = ngram_join.join(_by_key(rows), k=5, num=80, den=100).select(F.col("doc_id").alias("key"), "component_id").join(rows.select("key", "doc_id"), "key")
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"))
+    return _only(rows, first.select("first.key"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

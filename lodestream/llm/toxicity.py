@@ -272,7 +272,8 @@ def _score_batches(lm, model):
         reader = Reader(lm.value, table)
         for b in batches:
             z = np.array([bias + sum(weights[k] for k in reader.text(t)) for t in b.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))), pa.float64())], names=["doc_id", "score"])
+            columns = {c: b.column(c) for c in b.schema.names if c != "text"}
+            yield pa.RecordBatch.from_pydict({**columns, "score": pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))), pa.float64())})
 
     return run
 
@@ -297,10 +298,10 @@ def fit_logistic(hits: list[list[int]], toxic: np.ndarray, n: int, ridge: float
     return w[:n], float(w[n])
 
 
-def score(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """doc_id and score (0 to 1) of every document. labels: doc_id and toxic of the rows that may be learnt from."""
+def score(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, carry: tuple = ()) -> DataFrame:
+    """doc_id, the columns of ``carry`` (longs) and score (0 to 1) of every document. labels: doc_id and toxic of the rows that may be learnt from."""
     sc = docs.sparkSession.sparkContext
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
     lm = sc.broadcast(language_model(base))
     some = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     some = some.orderBy(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(max_labelled)
@@ -322,12 +323,12 @@ def score(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     else:
         table, weights, bias = {}, np.zeros(0), math.log((n_bad + 1) / (n_all - n_bad + 1))
     model = sc.broadcast((table, weights.tolist(), bias))
-    return base.mapInArrow(_score_batches(lm, model), "doc_id long, score double")
+    return base.mapInArrow(_score_batches(lm, model), ", ".join(f"{c} long" for c in ("doc_id", *carry)) + ", score double")
 
 
-def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **limits) -> DataFrame:
-    """doc_id, held_out, score and predicted; rows whose crc32(doc_id as text) mod 4 is 2 are held out of learning."""
+def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, carry: tuple = (), **limits) -> DataFrame:
+    """doc_id, the columns of ``carry``, held_out, score and predicted; rows whose crc32(doc_id as text) mod 4 is 2 are held out of learning."""
     def held():
         return F.coalesce(F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
-    return score(docs, labels.where(~held()), **limits).select("doc_id", held().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return score(docs, labels.where(~held()), carry=carry, **limits).select("doc_id", *carry, held().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
