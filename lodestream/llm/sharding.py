@@ -5,9 +5,9 @@ found in a balanced tree. Two levels keep it distributed: groups are first bundl
 inside many hash buckets, then the bounded list of bundles is packed into the shards, at the smallest
 capacity (found by bisection) for which best-fit-decreasing needs no more shards than there are.
 
-A group larger than ``1 / 8`` of a shard's fair share cannot leave shards of near equal size if it stays
-whole, so such groups, of which there are at most 8 per shard, are dealt by a hash of doc_id into pieces
-of about a sixteenth of a share; smaller groups never part.
+Only a group larger than a shard's fair share, of which there are fewer than shards, parts: it is dealt by a hash
+of doc_id into as many pieces as shares it fills. All other groups stay whole; those of some size are bundles of
+their own, around which the small ones are packed.
 
 Defined cases: a null text has size 8 and crc32 0 and groups with empty texts; repeated rows are rows like
 any other; an empty table gives an empty result; only doc_id and text are read.
@@ -127,8 +127,8 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     groups = base.groupBy("digest").agg(F.sum("size").alias("group_bytes"))
     total, n_groups, n_rows = base.agg(F.coalesce(F.sum("size"), F.lit(0)), F.approx_count_distinct("digest"), F.count("*")).first()
     share = max(1, total // shards)
-    # at most 8 * shards groups exceed an eighth of a share, so this side has a proven bound
-    large = groups.where(F.col("group_bytes") * 8 > share).select("digest", F.ceil(F.col("group_bytes") * 16 / share).cast("int").alias("pieces"))
+    # at most ``shards`` groups exceed a share, so this side has a proven bound
+    large = groups.where(F.col("group_bytes") > share).select("digest", F.ceil(F.col("group_bytes") / share).cast("int").alias("pieces"))
     piece = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("pieces")), F.lit(0)).cast("int")
     dealt = base.join(F.broadcast(large), "digest", "left").select("doc_id", "size", "text_crc32", "digest", piece.alias("piece"))
     units = dealt.groupBy("digest", "piece").agg(F.sum("size").alias("unit_bytes"))
@@ -140,8 +140,13 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     sums = units.groupBy("bundle").agg(F.sum("unit_bytes").alias("b")).orderBy("bundle").toPandas()
     placed = sums.assign(shard=shard_units(sums["b"].tolist(), shards))[["bundle", "shard"]]
     placed = docs.sparkSession.createDataFrame(placed.astype({"bundle": "int64", "shard": "int32"}), "bundle long, shard int")
-    where = units.join(F.broadcast(placed), "bundle").select("digest", "piece", "shard")
-    rows = dealt.join(where, ["digest", "piece"]).select("doc_id", "size", "text_crc32", "shard")
+    where = units.join(F.broadcast(placed), "bundle")
+    # the rows of a unit over an eighth of a share, of which there are at most 8 * shards, must not meet in one task
+    big = where.where(F.col("unit_bytes") * 8 > share).select("digest", "piece", F.col("shard").alias("big_shard"))
+    at = dealt.join(F.broadcast(big), ["digest", "piece"], "left")
+    small = at.where("big_shard IS NULL").drop("big_shard").join(where.where(F.col("unit_bytes") * 8 <= share).select("digest", "piece", "shard"), ["digest", "piece"])
+    columns = ["doc_id", "size", "text_crc32"]
+    rows = small.select(*columns, "shard").unionByName(at.where("big_shard IS NOT NULL").select(*columns, F.col("big_shard").alias("shard")))
     return number(rows, "shard", max(8, n_rows // shards // BUCKET_ROWS))
 
 

@@ -136,6 +136,20 @@ def test_sharding(docs, empty):
     assert sharding.shard(empty).count() == 0
 
 
+def test_sharding_keeps_groups_up_to_a_share_whole(spark):
+    """Of 8 shards of 100 texts each: groups of an eighth to nine tenths of a share, and one of two and a half shares."""
+    texts = [f"group {n:03d} of equal texts" for n in (13, 20, 50, 90) for _ in range(n)] + ["the biggest group, equal"[:24]] * 250
+    texts += [f"single text {i:06d} stands."[:24] for i in range(800 - len(texts))]
+    got = sharding.shard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 8).collect()
+    of, load = {}, {}
+    for r in got:
+        of.setdefault(texts[r.doc_id], set()).add(r.shard)
+        load[r.shard] = load.get(r.shard, 0) + r.size
+    assert len(got) == 800 and len(load) == 8
+    assert all(len(k) == 1 for t, k in of.items() if not t.startswith("the biggest")) and len(of["the biggest group, equal"]) == 3
+    assert max(load.values()) - min(load.values()) <= 0.02 * sum(load.values()) / 8
+
+
 def test_best_fit_tree():
     sizes = sorted([random.Random(1).randint(1, 50) for _ in range(200)], reverse=True)
     bins, n = sharding.best_fit_decreasing(sizes, 60)
