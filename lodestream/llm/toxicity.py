@@ -207,13 +207,17 @@ def _grams(words: Counter) -> Counter:
 
 def _gram_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words, grams = Counter(), Counter()
+    held = 0
     for b in batches:
         for text in b.column("text").to_pylist():
             if text:
-                words.update(text.lower().split())
-                if len(words) > FLUSH:
+                new = text.lower().split()
+                words.update(new)
+                held += len(text) if len(text) > LONG * len(new) else 0  # very long words are counted at once
+                if len(words) > FLUSH or held > LONG * FLUSH:
                     grams.update(_grams(_latin(words)))
                     words.clear()
+                    held = 0
     grams.update(_grams(_latin(words)))
     yield pa.RecordBatch.from_arrays([pa.array([code(*g) for g in grams], pa.int64()), pa.array(list(grams.values()), pa.int64())], names=["code", "n"])
 
@@ -223,7 +227,7 @@ def _latin(words: Counter) -> Counter:
     out: Counter = Counter()
     for w, n in words.items():
         w = w.strip(_EDGE)
-        if w.isalpha() and len(w) <= LONG and (w.isascii() or max(w) < "ƀ"):
+        if w.isalpha() and (w.isascii() or max(w) < "ƀ"):
             out[w] += n
     return out
 
@@ -266,13 +270,13 @@ def _hit_batches(lm, table):
     return run
 
 
-def _score_batches(lm, model):
+def _score_batches(lm, model, names: tuple):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, weights, bias = model.value
         reader = Reader(lm.value, table)
         for b in batches:
             z = np.array([bias + sum(weights[k] for k in reader.text(t)) for t in b.column("text").to_pylist()])
-            columns = {c: b.column(c) for c in b.schema.names if c != "text"}
+            columns = {c: b.column(c) for c in names}
             yield pa.RecordBatch.from_pydict({**columns, "score": pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))), pa.float64())})
 
     return run
@@ -299,15 +303,16 @@ def fit_logistic(hits: list[list[int]], toxic: np.ndarray, n: int, ridge: float
 
 
 def score(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, carry: tuple = ()) -> DataFrame:
-    """doc_id, the columns of ``carry`` (longs) and score (0 to 1) of every document. labels: doc_id and toxic of the rows that may be learnt from."""
+    """doc_id, the columns of ``carry`` (text may be one of them) and score (0 to 1) of every document. labels: doc_id and toxic of the rows that may be learnt from."""
     sc = docs.sparkSession.sparkContext
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
+    carry = tuple(c for c in carry if c != "doc_id")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(c for c in carry if c != "text"))
     lm = sc.broadcast(language_model(base))
     some = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     some = some.orderBy(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(max_labelled)
     sample = checkpoint(base.join(F.broadcast(some), "doc_id").select("text", "toxic").repartition(12))  # max_labelled ids at most
     candidates = sample.where("toxic = 1").mapInArrow(_toxic_features(lm), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_TOXIC)
-    names = [r["feature"] for r in candidates.orderBy(F.desc("n"), "feature").limit(100_000).collect()]
+    names = [r["feature"] for r in candidates.orderBy(F.desc("n"), "feature").collect()]  # of the max_labelled rows of the sample
     table = {f: i for i, f in enumerate(names)}
     counts = sample.mapInArrow(_feature_counts(lm, sc.broadcast(table)), "k int, clean long, bad long").groupBy("k").agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad")).toPandas()
     n_bad, n_all = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
@@ -323,7 +328,8 @@ def score(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     else:
         table, weights, bias = {}, np.zeros(0), math.log((n_bad + 1) / (n_all - n_bad + 1))
     model = sc.broadcast((table, weights.tolist(), bias))
-    return base.mapInArrow(_score_batches(lm, model), ", ".join(f"{c} long" for c in ("doc_id", *carry)) + ", score double")
+    kept = base.select("doc_id", *carry)
+    return base.mapInArrow(_score_batches(lm, model, tuple(kept.columns)), kept.schema.add("score", "double"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, carry: tuple = (), **limits) -> DataFrame:
@@ -331,4 +337,4 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, carry: tup
     def held():
         return F.coalesce(F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
-    return score(docs, labels.where(~held()), carry=carry, **limits).select("doc_id", *carry, held().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return score(docs, labels.where(~held()), carry=carry, **limits).select("doc_id", *(c for c in carry if c != "doc_id"), held().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
