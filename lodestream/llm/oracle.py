@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .url_filter import LAST
 from .url_filter import RULES as URL_RULES
 
 #: Of op2's SQL, which knows one-line phrases only; license_scan has the rules for whole licence texts.
@@ -86,17 +87,21 @@ def _op3() -> str:
     return rf"""
 WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
-r AS (SELECT *, {rule} AS rule, {verdict} AS said, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: CASE WHEN regexp_matches(s, '[0-9]') THEN '*' || regexp_extract(s, '(\.[A-Za-z]{{1,5}})$', 1) ELSE s END) AS seg FROM p),
-first AS (SELECT host, seg[1] AS a, count(said) AS n, count(*) FILTER (said = 'block') AS k FROM r GROUP BY ALL),
-node AS (SELECT host, sum(n) AS n, sum(k) AS k, count(*) AS width FROM first WHERE a IS NOT NULL GROUP BY host),
-named AS (SELECT f.host, f.a, CASE WHEN f.a IS NULL THEN '' WHEN starts_with(f.a, '*') THEN f.a WHEN (f.n > 0 AND f.n < d.n AND d.k > 0 AND d.k < d.n
-    AND abs(f.k / f.n - (d.k - f.k) / (d.n - f.n)) >= 1.96 * sqrt(d.k / d.n * (1 - d.k / d.n) * (1.0 / f.n + 1.0 / (d.n - f.n))))
-  OR (f.n > 0 AND d.n = f.n AND d.width > 1 AND d.width <= 32) THEN f.a ELSE '*' END AS t FROM first f LEFT JOIN node d USING (host)),
-leaf AS (SELECT r.*, t || '/' || coalesce(seg[2], '') AS template FROM r JOIN named ON r.host = named.host AND r.seg[1] IS NOT DISTINCT FROM named.a),
-nodes AS (SELECT host, template, count(said) AS n, count(*) FILTER (said = 'block') AS k FROM leaf GROUP BY ALL),
-hosts AS (SELECT host, (sum(k) + 1) / (sum(n) + 2) AS prior FROM nodes GROUP BY host)
-SELECT page_id, leaf.host, path, rule, coalesce(said, CASE WHEN (k + 10 * prior) / (n + 10) >= 0.8 AND n >= 20 THEN 'block' ELSE 'allow' END) AS verdict
-FROM leaf JOIN nodes ON nodes.host = leaf.host AND nodes.template = leaf.template JOIN hosts ON hosts.host = leaf.host"""
+r AS (SELECT *, {rule} AS rule, {verdict} AS said, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: CASE WHEN regexp_matches(s, '[0-9]') OR length(s) > 32 THEN '*' || regexp_extract(s, '(\.[A-Za-z]{{1,5}})$', 1) ELSE s END) AS seg FROM p),
+shapes AS (SELECT host, seg, count(said) AS n, count(*) FILTER (said = 'block') AS k FROM r GROUP BY host, seg),
+steps AS (SELECT host, seg, n, i, seg[1:i] AS prefix FROM (SELECT *, unnest(range(1, len(seg) + 1)) AS i FROM shapes)),
+branches AS (SELECT host, prefix FROM steps GROUP BY host, prefix HAVING sum(n) > 0),
+reached AS (SELECT host, seg, max(i) AS known FROM steps JOIN branches USING (host, prefix) GROUP BY host, seg),
+named AS (SELECT s.*, list_concat(seg[1:coalesce(known, 0)], list_transform(range(coalesce(known, 0), len(seg)), lambda i: '*?')) AS names FROM shapes s LEFT JOIN reached USING (host, seg)),
+tree AS (SELECT host, seg, n, k, array_to_string(list_transform(names, lambda x: '/' || x), '') AS template FROM named),
+nodes AS (SELECT host, template, sum(n) AS n, sum(k) AS k, CASE WHEN sum(n) > 0 AND sum(n) < 20 AND regexp_matches(template, '{LAST}') THEN regexp_replace(template, '{LAST}', '\1/*?~\3') END AS kin FROM tree GROUP BY host, template),
+few AS (SELECT host, kin, sum(k) / sum(n) AS p FROM nodes WHERE kin IS NOT NULL GROUP BY ALL),
+alike AS (SELECT nodes.*, CASE WHEN abs(k / n - p) <= 1.96 * sqrt(p * (1 - p) / n) THEN nodes.kin ELSE template END AS t FROM nodes LEFT JOIN few ON few.host = nodes.host AND few.kin = nodes.kin),
+pooled AS (SELECT host, t, sum(n) AS n, sum(k) AS k FROM alike GROUP BY ALL),
+hosts AS (SELECT host, (sum(k) + 1) / (sum(n) + 2) AS prior FROM pooled GROUP BY host),
+bad AS (SELECT host, t, (k + 10 * prior) / (n + 10) >= 0.8 AND n >= 20 AS bad FROM pooled JOIN hosts USING (host))
+SELECT page_id, r.host, path, rule, coalesce(said, CASE WHEN bad THEN 'block' ELSE 'allow' END) AS verdict
+FROM r JOIN tree ON r.host = tree.host AND r.seg = tree.seg JOIN alike ON alike.host = tree.host AND alike.template = tree.template JOIN bad ON bad.host = alike.host AND bad.t = alike.t"""
 
 
 def _op5() -> str:
@@ -107,9 +112,13 @@ o AS (SELECT *, row_number() OVER (ORDER BY most / weight, source NULLS LAST) AS
   (sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s),
 l AS (SELECT arg_min(level, pos) AS level FROM o WHERE level * weight <= most),
 t AS (SELECT source, source_size, coalesce(least(most, l.level * weight), most) AS target FROM o LEFT JOIN l ON true),
-r AS (SELECT *, CASE WHEN source_size > 0 THEN least(3.0, target / source_size) ELSE 0 END AS rate FROM t)
-SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT / 281474976710656.0 < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source"""
+r AS (SELECT *, CASE WHEN source_size > 0 THEN least(3.0, target / source_size) ELSE 0 END AS rate FROM t),
+u AS (SELECT d.*, source_size, target, rate, ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
+k AS (SELECT range AS k, range / 64.0::DOUBLE AS turn FROM range(64)),
+sums AS (SELECT source, k, turn, any_value(target) AS target, any_value(source_size) * floor(any_value(rate)) + coalesce(sum(size) FILTER (u + turn - floor(u + turn) < rate - floor(rate)), 0) AS taken FROM u, k GROUP BY source, k, turn),
+best AS (SELECT source, turn FROM sums QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(taken - target), k) = 1)
+SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN u + turn - floor(u + turn) < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM u JOIN best ON u.source IS NOT DISTINCT FROM best.source"""
 
 
 def _op7() -> str:
