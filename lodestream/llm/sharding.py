@@ -2,7 +2,8 @@
 
 Groups are sets of equal texts. Sorted by size they enter the bin with the tightest remaining capacity,
 found in a balanced tree. Two levels keep it distributed: groups are first bundled by best-fit-decreasing
-inside many hash buckets, then the bounded list of bundles is packed into the shards, at the smallest
+inside many hash buckets; what each bucket leaves below half a bundle is bundled again in fewer buckets, so that the list
+of bundles is bounded by the number of shards alone; that list is packed into the shards, at the smallest
 capacity (found by bisection) for which best-fit-decreasing needs no more shards than there are.
 
 Only a group larger than a shard's fair share, of which there are fewer than shards, parts: it is dealt by a hash
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpoint, crc32_text
+from .common import checkpoint, crc32_text, written
 
 #: Bundles of a fair share: the driver sees about twice as many sizes per shard.
 BUNDLES = 1000
@@ -112,13 +113,19 @@ def shard_units(sizes: list[int], shards: int) -> list[int]:
 
 def _bundler(capacity: int):
     def bundle(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["unit_bytes", "digest", "piece"], ascending=[False, True, True])
-        bins, _ = best_fit_decreasing(frame["unit_bytes"].tolist(), capacity, 9)
-        return frame.assign(bundle=frame["bucket"].astype("int64") * (1 << 32) + pd.Series(bins, index=frame.index, dtype="int64"))
+        frame = frame.sort_values(["bytes", "name"], ascending=[False, True])
+        bins, _ = best_fit_decreasing(frame["bytes"].tolist(), capacity, 9)
+        return pd.DataFrame({"name": frame["name"], "bundle": [f"{b}-{k}" for b, k in zip(frame["bucket"], bins, strict=True)]})
 
     return bundle
 
 
+def bundled(items: DataFrame, buckets: int, capacity: int) -> DataFrame:
+    """name and bundle of each item (name string, bytes long), by best-fit-decreasing inside ``buckets`` hash buckets."""
+    items = items.withColumn("bucket", F.pmod(F.xxhash64("name", F.lit(buckets)), F.lit(buckets)))
+    return written(items.groupBy("bucket").applyInPandas(_bundler(capacity), "name string, bundle string"))
+
+
 def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every document."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -131,16 +138,19 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     large = groups.where(F.col("group_bytes") > share).select("digest", F.ceil(F.col("group_bytes") / share).cast("int").alias("pieces"))
     piece = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("pieces")), F.lit(0)).cast("int")
     dealt = base.join(F.broadcast(large), "digest", "left").select("doc_id", "size", "text_crc32", "digest", piece.alias("piece"))
-    units = dealt.groupBy("digest", "piece").agg(F.sum("size").alias("unit_bytes"))
-    buckets = max(64, n_groups // BUCKET_ROWS)
-    units = units.withColumn("bucket", F.pmod(F.xxhash64("digest", "piece"), F.lit(buckets)))
-    units = units.groupBy("bucket").applyInPandas(_bundler(max(1, share // BUNDLES)), "digest binary, piece int, unit_bytes long, bucket long, bundle long")
-    units = checkpoint(units)
-    # a bundle below half its capacity occurs once a bucket at most: 2 * BUNDLES * shards + buckets sizes at most
-    sums = units.groupBy("bundle").agg(F.sum("unit_bytes").alias("b")).orderBy("bundle").toPandas()
-    placed = sums.assign(shard=shard_units(sums["b"].tolist(), shards))[["bundle", "shard"]]
-    placed = docs.sparkSession.createDataFrame(placed.astype({"bundle": "int64", "shard": "int32"}), "bundle long, shard int")
-    where = units.join(F.broadcast(placed), "bundle")
+    units = written(dealt.groupBy("digest", "piece").agg(F.sum("size").alias("bytes")).withColumn("name", F.concat_ws("-", F.hex("digest"), "piece")))
+    buckets, capacity = max(64, n_groups // BUCKET_ROWS), max(1, share // BUNDLES)
+    first = bundled(units.select("name", "bytes"), buckets, capacity)
+    sums = first.join(units.select("name", "bytes"), "name").groupBy("bundle").agg(F.sum("bytes").alias("bytes"))
+    # a bundle below half its capacity is left once a bucket at most: the left ones are bundled again, in a few buckets
+    second = bundled(sums.where(2 * F.col("bytes") < capacity).select(F.col("bundle").alias("name"), "bytes"), max(1, buckets // BUCKET_ROWS), capacity)
+    whole = sums.join(second.select(F.col("name").alias("bundle"), F.concat(F.lit("left-"), "bundle").alias("into")), "bundle", "left").select("bundle", F.coalesce("into", "bundle").alias("into"), "bytes")
+    whole = written(whole)
+    # 2 * BUNDLES * shards sizes at most, and one for each of the few buckets
+    sizes = whole.groupBy("into").agg(F.sum("bytes").alias("b")).orderBy("into").toPandas()
+    placed = docs.sparkSession.createDataFrame(list(zip(sizes["into"].tolist(), shard_units(sizes["b"].tolist(), shards), strict=True)), "into string, shard int")
+    where = units.join(first, "name").join(whole.select("bundle", "into"), "bundle").join(F.broadcast(placed), "into").withColumnRenamed("bytes", "unit_bytes")
+    where = written(where.select("digest", "piece", "unit_bytes", "shard"))
     # the rows of a unit over an eighth of a share, of which there are at most 8 * shards, must not meet in one task
     big = where.where(F.col("unit_bytes") * 8 > share).select("digest", "piece", F.col("shard").alias("big_shard"))
     at = dealt.join(F.broadcast(big), ["digest", "piece"], "left")
