@@ -1,11 +1,12 @@
-"""Embedding near-dedup by spherical-cap filters from a structured random product code.
+"""Embedding near-dedup by spherical-cap filters from structured random product codes.
 
-After a seeded rotation a vector is split into four blocks with ``B`` random code words each; a filter is
-one code word per block, its score the sum of the four inner products. List decoding returns every filter
+There are ``TABLES`` codes, each with a seeded rotation of its own: a rotated vector is split into four blocks with ``B``
+random code words each, of equal length; a filter is one code word per block, its score the sum of the four inner products. List decoding returns every filter
 whose score exceeds ``alpha``, by adding the sorted sums of two halves without visiting the B**4 filters one
 by one; a vector that exceeds few gets its best ``LEAST`` ones. B grows with the fourth root of the input so
-that lists stay short, and alpha is set so that a pair right at the threshold would miss all filters with
-probability 1e-5 if filters were independent. They are not: 0.96 of such pairs are found, and more of closer ones
+that lists stay short, and alpha is set so that a pair right at the threshold would miss all filters of one code with
+probability 0.02, if its filters were independent, and those of all codes with 1e-5. Within a code they are not, between codes
+they are nearly so: 0.98 or more of such pairs are found, with 64 and with 768 dimensions, and more of closer ones
 (measured in the tests).
 
 Vectors of one label and filter meet; lists over ``SIDE`` members are cut into blocks, and each pair of blocks
@@ -15,8 +16,8 @@ count and one spanning link per member.
 
 Defined cases: vectors that are null, zero, of another length than their partner, or hold null or non-finite
 components, and rows with a null label, link with nothing; equal vectors of a label are one representative
-with a multiplicity; a null vec_id has a null component and kept; an empty table gives an empty result; only
-vec_id, embedding and label are read.
+with a multiplicity; a null vec_id has a null component and kept; labels of any type count as equal when their texts are;
+an empty table gives an empty result; only vec_id, embedding and label are read.
 """
 
 from __future__ import annotations
@@ -29,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, connected_components
+from .common import connected_components, lookup, written
 
-BLOCKS, LEAST, SIDE = 4, 16, 256
+TABLES, BLOCKS, LEAST, SIDE = 3, 4, 8, 256
 #: Lists up to SMALL members share one product, PAIRS pairs at a time.
 SMALL, PAIRS = 48, 20_000
 
@@ -40,8 +41,8 @@ def tail(x: float) -> float:
     return 0.5 * math.erfc(x / math.sqrt(2))
 
 
-def plan_code(n: int, threshold: float, miss: float = 1e-5) -> tuple[int, float]:
-    """(B, alpha) for n vectors."""
+def plan_code(n: int, threshold: float, miss: float = 0.02) -> tuple[int, float]:
+    """(B, alpha) for n vectors; miss: of one code."""
     b = max(24, math.ceil(n ** (1 / BLOCKS)))
     filters, alpha = float(b**BLOCKS), 6.0
     grid = np.linspace(0, 4, 400)
@@ -56,13 +57,14 @@ def plan_code(n: int, threshold: float, miss: float = 1e-5) -> tuple[int, float]
 
 
 class Code:
-    """The product code for vectors of one length."""
+    """One product code for vectors of one length."""
 
     def __init__(self, dim: int, b: int, alpha: float, seed: int = 11) -> None:
         rng = np.random.default_rng([seed, dim])
         self.turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         self.cuts = np.linspace(0, dim, BLOCKS + 1).astype(int)
-        self.words = [rng.standard_normal((b, hi - lo)) for lo, hi in zip(self.cuts, self.cuts[1:], strict=False)]
+        words = [rng.standard_normal((b, hi - lo)) for lo, hi in zip(self.cuts, self.cuts[1:], strict=False)]
+        self.words = [w * math.sqrt(w.shape[1]) / np.maximum(np.linalg.norm(w, axis=1), 1e-9)[:, None] for w in words]  # so that no filter takes in more than others
         self.b, self.alpha = b, alpha
 
     def decode(self, unit: np.ndarray) -> np.ndarray:
@@ -86,6 +88,15 @@ class Code:
         return np.sort(out.astype(np.int64))
 
 
+def all_filters(codes: list[Code], unit: np.ndarray) -> np.ndarray:
+    """Sorted filters of one unit vector in all codes, numbered through."""
+    return np.concatenate([code.decode(unit) + k * code.b**BLOCKS for k, code in enumerate(codes)])
+
+
+def all_codes(dim: int, b: int, alpha: float) -> list[Code]:
+    return [Code(dim, b, alpha, 11 + k) for k in range(TABLES)]
+
+
 def _unit(v) -> np.ndarray | None:
     if v is None or not len(v) or any(x is None for x in v):
         return None
@@ -96,7 +107,7 @@ def _unit(v) -> np.ndarray | None:
 
 def _decode_batches(b: int, alpha: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes: dict[int, Code] = {}
+        codes: dict[int, list[Code]] = {}
         for rows in batches:
             out = []
             for v in rows.column("embedding").to_pylist():
@@ -104,8 +115,7 @@ def _decode_batches(b: int, alpha: float):
                 if u is None:
                     out.append([])
                     continue
-                code = codes.get(len(u)) or codes.setdefault(len(u), Code(len(u), b, alpha))
-                out.append(code.decode(u))
+                out.append(all_filters(codes.get(len(u)) or codes.setdefault(len(u), all_codes(len(u), b, alpha)), u))
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(out, pa.list_(pa.int64()))], names=[*rows.schema.names, "filters"])
 
     return run
@@ -257,12 +267,15 @@ def _list_batches(threshold: float):
 
 def dedup(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     """vec_id, n_links, component_id and kept of every vector."""
-    base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<float>").alias("embedding"))
+    number = "float" if dict(vectors.dtypes)["embedding"] == "array<float>" else "double"
+    base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast(f"array<{number}>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    good = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0) & finite & F.exists("embedding", lambda x: x != 0)
-    reps = base.where(good).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    b, alpha = plan_code(max(1, base.count()), threshold)
-    reps = checkpoint(reps.mapInArrow(_decode_batches(b, alpha), "label long, embedding array<float>, rep long, copies long, filters array<long>"))
+    good = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0) & finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
+    usable = base.where(good)
+    reps = usable.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    total, n = base.agg(F.count_if(good), F.count("*")).first()
+    b, alpha = plan_code(max(1, n), threshold)
+    reps = written(reps.mapInArrow(_decode_batches(b, alpha), f"label string, embedding array<{number}>, rep long, copies long, filters array<long>"))
 
     keys = reps.select("label", "rep", F.explode("filters").alias("filter"))
     lists = keys.groupBy("label", "filter").count().where("count > 1").withColumn("parts", F.ceil(F.col("count") / SIDE).cast("int")).drop("count")
@@ -271,12 +284,13 @@ def dedup(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     keys = keys.select("label", "filter", "rep", "own", other).select("label", "filter", "rep", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"))
     work = keys.join(reps.select("rep", "copies", "embedding", "filters"), "rep")
     group = ["label", "filter", "lo", "hi"]
-    met = checkpoint(work.repartition(*group).sortWithinPartitions(*group).mapInArrow(_list_batches(threshold), "rep long, gained long, other long"))
+    met = written(work.repartition(*group).sortWithinPartitions(*group).mapInArrow(_list_batches(threshold), "rep long, gained long, other long"))
 
     links = met.groupBy("rep").agg(F.sum("gained").alias("gained"))
     comp = connected_components(met.select(F.col("rep").alias("a"), F.col("other").alias("b"))).select(F.col("id").alias("rep"), "component")
     known = reps.select("label", "embedding", "rep", "copies").join(links, "rep", "left").join(comp, "rep", "left")
-    known = known.select("label", "embedding", F.coalesce("component", "rep").alias("component"), (F.coalesce("gained", F.lit(0)) + F.col("copies") - 1).alias("n"), F.lit(True).alias("known"))
-    out = base.withColumn("good", good).join(known.withColumn("good", F.lit(True)), ["label", "embedding", "good"], "left")
-    component = F.coalesce(F.when(F.col("vec_id").isNotNull(), F.col("component")), F.col("vec_id"))
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    known = known.select("label", "embedding", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("gained", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), "copies")
+    known = written(known)
+    out = lookup(usable, known, ["label", "embedding"], "copies", total).select("vec_id", "n_links", "component_id")
+    out = out.unionByName(base.where(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
+    return out.select("*", (F.col("vec_id") == F.col("component_id")).alias("kept"))

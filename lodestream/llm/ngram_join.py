@@ -7,8 +7,9 @@ that link share at least min(l, l') tokens of their prefixes. Each document pick
 cost: a longer prefix means more postings to scan but asks for more shared tokens before a pair is verified.
 
 1. Documents with equal sets form classes; only the smallest id of a class goes on.
-2. In every token's list each member is paired with the list's smallest id alone, and the pairs that share
-   enough are verified: groups of near copies become connected in linear time.
+2. Postings, a token and an id with the set's size and l in one number, are shuffled by token once, and lists of one
+   member end there. In every other list each member is paired with the list's smallest id alone, and the pairs that
+   share enough are verified: groups of near copies become connected in linear time.
 3. Of the pairs that remain, only those between different components matter. Lists that still hold more than
    one component are cut into blocks, and inside a task each pair of a block is held against a bound from
    parity bitmaps: tokens that only one of two sets holds flip at most one bit each, so sets that differ in
@@ -18,7 +19,7 @@ So no link between components is missed, while a group of thousands of near copi
 
 Defined cases: without words the set is empty and links with nothing; fewer words than a shingle are one
 shingle; texts are used whole; a null doc_id gets a null component; repeated rows share a set and so a
-component; an empty table gives an empty result; only doc_id and text are read.
+component; an empty table gives an empty result; only doc_id, text and the columns asked for are read.
 """
 
 from __future__ import annotations
@@ -28,10 +29,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpoint, connected_components
+from .common import BROADCAST_IDS, connected_components, lookup, written
 
 #: Tokens of a counting window; a token in at least ``HOT_IN_WINDOW`` different sets of one is counted as frequent.
 WINDOW_TOKENS, HOT_IN_WINDOW = 1 << 21, 3
@@ -39,11 +41,11 @@ WINDOW_TOKENS, HOT_IN_WINDOW = 1 << 21, 3
 HOT = 65_536
 #: Longest prefix extension tried, and cost of verifying a pair in postings scanned.
 MOST_MATCHES, VERIFY_COST = 8, 40.0
-#: Ids up to which a set of ids is broadcast (16 MB at most); beyond it the join shuffles.
-BROADCAST_IDS = 1_000_000
 WORD_CACHE = 500_000
 #: Members of a block of a list, and bits of a parity bitmap.
 SIDE, BITS = 512, 512
+#: A set of n tokens with prefix extension l is written n * NL + l.
+NL = 16
 
 
 class _WordHash(dict):
@@ -82,14 +84,15 @@ def parity(s: np.ndarray) -> bytes:
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
-def _digest_batches(k: int):
-    schema = pa.schema([*((c, pa.int64()) for c in ("doc_id", "n_shingles", "d1", "d2", "token", "sets")), ("bits", pa.binary())])
+def _digest_batches(k: int, carry: tuple):
+    whole = ("doc_id", "n_shingles", "d1", "d2", *carry)
+    schema = pa.schema([*((c, pa.int64()) for c in (*whole, "token", "sets")), ("bits", pa.binary())])
 
     def frequent(window: dict) -> pa.RecordBatch | None:
         token, count = np.unique(np.concatenate(list(window.values())), return_counts=True)
         hot = count >= HOT_IN_WINDOW
         none = pa.nulls(int(hot.sum()), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(token[hot]), pa.array(count[hot].astype(np.int64)), pa.nulls(len(none), pa.binary())], schema=schema) if hot.any() else None
+        return pa.RecordBatch.from_arrays([*(none,) * len(whole), pa.array(token[hot]), pa.array(count[hot].astype(np.int64)), pa.nulls(len(none), pa.binary())], schema=schema) if hot.any() else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         window, held = {}, 0
@@ -109,7 +112,7 @@ def _digest_batches(k: int):
                             yield hot
                         window, held = {}, 0
             none = pa.nulls(len(rows), pa.int64())
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else ((),) * 4)), none, none, pa.array(bits, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else ((),) * 4)), *map(b.column, carry), none, none, pa.array(bits, pa.binary())], schema=schema)
         if window and (hot := frequent(window)) is not None:
             yield hot
 
@@ -140,23 +143,22 @@ def adaptive_prefix(s: np.ndarray, hot: np.ndarray, sets: np.ndarray, num: int,
 
 
 def _prefix_batches(k: int, num: int, den: int, table):
-    schema = pa.schema([("doc", pa.int64()), ("n", pa.int32()), ("l", pa.int32()), ("tokens", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc", pa.int64()), ("nl", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, sets = table.value
         for b in batches:
-            docs, ns, ls, tokens = [], [], [], []
+            docs, sizes, tokens = [], [], []
             for doc, text in _texts(b):
                 s = shingle_set(text, k)
                 if len(s):
                     m, prefix = adaptive_prefix(s, hot, sets, num, den)
                     docs.append(doc)
-                    ns.append(len(s))
-                    ls.append(m)
+                    sizes.append(len(s) * NL + m)
                     tokens.append(prefix)
             ends = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
             flat = pa.array(np.concatenate(tokens) if tokens else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(ns, pa.int32()), pa.array(ls, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), flat)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)], schema=schema)
 
     return run
 
@@ -187,7 +189,8 @@ def _verify_batches(num: int, den: int):
 
 def _list_batches(num: int, den: int):
     """Pairs that the bitmaps allow, from runs of equal (token, lo, hi) in sorted rows; a run may go on in the next batch."""
-    names = ["token", "lo", "hi", "doc", "n", "c", "own"]
+    names = ["token", "lo", "hi", "doc", "nl", "c", "own"]
+    kinds = ("x", "y", "x_nl", "y_nl")
 
     def one(x: dict) -> tuple[np.ndarray, np.ndarray] | None:
         own = x["own"]
@@ -195,9 +198,10 @@ def _list_batches(num: int, den: int):
         ok = x["c"][left][:, None] != x["c"][right][None, :]
         if not ok.any():
             return None
-        total = x["n"][left][:, None] + x["n"][right][None, :]
+        n = x["nl"] // NL
+        total = n[left][:, None] + n[right][None, :]
         overlap = -(-num * total // (num + den))
-        small = np.minimum(x["n"][left][:, None], x["n"][right][None, :])
+        small = np.minimum(n[left][:, None], n[right][None, :])
         i, j = np.nonzero(ok & (overlap <= small))
         if x["lo"][0] == x["hi"][0]:
             i, j = i[i < j], j[i < j]
@@ -211,20 +215,22 @@ def _list_batches(num: int, den: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict | None = None
-        none = pa.RecordBatch.from_pydict({"x": pa.array([], pa.int64()), "y": pa.array([], pa.int64())})
+        none = pa.RecordBatch.from_pydict({k: pa.array([], pa.int64()) for k in kinds})
 
         def runs(x: dict, last: bool):
             n = len(x["token"])
             new = np.flatnonzero((x["token"][1:] != x["token"][:-1]) | (x["lo"][1:] != x["lo"][:-1]) | (x["hi"][1:] != x["hi"][:-1])) + 1
             edges = [0, *new.tolist(), n]
             done = edges if last else edges[:-1]
-            out = ([], [])
+            out = ([], [], [], [])
             for a, b in zip(done, done[1:], strict=False):
                 if b - a > 1 and (got := one({k: v[a:b] for k, v in x.items()})) is not None:
-                    out[0].append(x["doc"][a:b][got[0]])
-                    out[1].append(x["doc"][a:b][got[1]])
+                    i, j = got[0] + a, got[1] + a
+                    i, j = np.where(x["doc"][i] < x["doc"][j], (i, j), (j, i))
+                    for to, column in zip(out, (x["doc"][i], x["doc"][j], x["nl"][i], x["nl"][j]), strict=True):
+                        to.append(column)
             rest = None if last else {k: v[edges[-2] :] for k, v in x.items()}
-            found = pa.RecordBatch.from_pydict({"x": pa.array(np.concatenate(out[0])), "y": pa.array(np.concatenate(out[1]))}) if out[0] else none
+            found = pa.RecordBatch.from_pydict({k: pa.array(np.concatenate(c)) for k, c in zip(kinds, out, strict=True)}) if out[0] else none
             return found, rest
 
         for b in batches:
@@ -244,65 +250,79 @@ def _list_batches(num: int, den: int):
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the threshold."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     few = ids.count() <= BROADCAST_IDS
-    some = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]) if not few else docs.join(F.broadcast(ids), "doc_id", "left_semi")
+    some = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
     sets = some.mapInArrow(_set_batches(k), "doc long, tokens binary")
-    sets = checkpoint(sets.groupBy("doc").agg(F.first("tokens").alias("tokens")))  # repeated rows of an id: any of them
+    sets = written(sets.groupBy("doc").agg(F.first("tokens").alias("tokens")))  # repeated rows of an id: any of them
     both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("doc").alias("b"), F.col("tokens").alias("y")), "b")
-    return checkpoint(both.select("a", "b", "x", "y").mapInArrow(_verify_batches(num, den), "a long, b long"))
+    return written(both.select("a", "b", "x", "y").mapInArrow(_verify_batches(num, den), "a long, b long"))
 
 
-def _ceil_share(n, num: int, den: int):
-    """Column: ceil(n * num / den) in whole numbers."""
-    return F.floor((n * num + (den - 1)) / den)
+def _candidates(pairs: DataFrame, a: str, b: str, num: int, den: int) -> tuple[Column, Column]:
+    """(sizes are similar, least number of shared prefix tokens) of pairs of columns a and b with a_nl and b_nl.
 
+    Overlap <= shared prefix tokens + what lies behind the prefix that ends first, whichever that is.
+    """
 
-def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document; sets link when den * shared >= num * union."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    first = checkpoint(base.mapInArrow(_digest_batches(k), "doc_id long, n_shingles long, d1 long, d2 long, token long, sets long, bits binary"))
-    rows = first.where("token IS NULL").select("doc_id", "n_shingles", "d1", "d2")
-    classes = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    hot = first.where("token IS NOT NULL").groupBy("token").agg(F.sum("sets").alias("sets")).orderBy(F.desc("sets"), "token").limit(HOT).toPandas().sort_values("token")
-    table = docs.sparkSession.sparkContext.broadcast((hot["token"].to_numpy(np.int64), hot["sets"].to_numpy(np.int64)))
+    def share(n: Column, of: int) -> Column:
+        return F.floor((n * num + (of - 1)) / of)  # ceil in whole numbers
 
-    prefixes = base.mapInArrow(_prefix_batches(k, num, den, table), "doc long, n int, l int, tokens array<long>")
-    prefixes = prefixes.join(classes.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi")
-    postings = prefixes.select(F.explode("tokens").alias("token"), F.struct("doc", "n", "l").alias("d")).repartition("token")
-    lists = postings.groupBy("token").agg(F.min("d").alias("leader"), F.max("d.doc").alias("last")).where("leader.doc < last")
-    shared = checkpoint(postings.join(lists.select("token", "leader"), "token").select("token", "d", "leader"))
+    n = [F.floor(F.col(f"{x}_nl") / NL) for x in (a, b)]
+    l = [F.col(f"{x}_nl") % NL for x in (a, b)]  # noqa: E741
+    behind = [share(x, den) - y for x, y in zip(n, l, strict=True)]
+    return den * F.least(*n) >= num * F.greatest(*n), F.greatest(F.least(*l), share(n[0] + n[1], num + den) - F.greatest(*behind))
 
-    # overlap <= shared prefix tokens + what lies behind the prefix that ends first, whichever that is
-    def behind(d: str):
-        return _ceil_share(F.col(f"{d}.n"), num, den) - F.col(f"{d}.l")
 
-    def similar_size(a: str, b: str):
-        return den * F.least(f"{a}.n", f"{b}.n") >= num * F.greatest(f"{a}.n", f"{b}.n")
-
-    def needed(a: str, b: str):
-        overlap = _ceil_share(F.col(f"{a}.n") + F.col(f"{b}.n"), num, num + den)
-        return F.greatest(F.least(f"{a}.l", f"{b}.l").cast("long"), overlap - F.greatest(behind(a), behind(b)))
+def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, carry: tuple = ()) -> DataFrame:
+    """doc_id, n_shingles, the columns of ``carry`` (longs) and component_id of every document; sets link when den * shared >= num * union."""
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).cast("long").alias(c) for c in carry))
+    longs = ", ".join(f"{c} long" for c in ("doc_id", "n_shingles", "d1", "d2", *carry, "token", "sets"))
+    first = written(base.mapInArrow(_digest_batches(k, carry), f"{longs}, bits binary"))
+    rows = first.where("token IS NULL").select("doc_id", "n_shingles", "d1", "d2", *carry)
+    same = ["n_shingles", "d1", "d2"]
+    classes = written(rows.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")))
+    members, n_classes = classes.agg(F.coalesce(F.sum("members"), F.lit(0)), F.count("rep")).first()
+    hot = first.where("token IS NOT NULL").groupBy("token").agg(F.sum("sets").alias("sets")).orderBy(F.desc("sets"), "token").limit(HOT).toPandas().sort_values("token")
+    table = docs.sparkSession.sparkContext.broadcast((hot["token"].to_numpy(np.int64), hot["sets"].to_numpy(np.int64)))
 
-    near = shared.where("d.doc <> leader.doc").where(similar_size("d", "leader")).groupBy("leader", "d").count()
-    tried = checkpoint(near.where(2 * F.col("count") >= needed("leader", "d")).select(F.col("leader.doc").alias("a"), F.col("d.doc").alias("b")))
+    reps = classes.where("rep IS NOT NULL").select(F.col("rep").alias("doc_id")).distinct()
+    texts, prefix = base.select("doc_id", "text").where("doc_id IS NOT NULL"), _prefix_batches(k, num, den, table)
+    if members - n_classes <= BROADCAST_IDS:  # the other members of classes are few: their texts are left out at once
+        others = rows.where("n_shingles > 0").select("doc_id").join(reps, "doc_id", "left_anti")
+        prefixes = texts.join(F.broadcast(others), "doc_id", "left_anti").mapInArrow(prefix, "doc long, nl long, tokens array<long>")
+    else:
+        prefixes = texts.mapInArrow(prefix, "doc long, nl long, tokens array<long>").join(reps.withColumnRenamed("doc_id", "doc"), "doc", "left_semi")
+    by = W.partitionBy("token").orderBy("doc")
+    lists = prefixes.select(F.explode("tokens").alias("token"), "doc", "nl").select("token", "doc", "nl", F.first("doc").over(by).alias("leader"), F.first("nl").over(by).alias("leader_nl"), F.lead("doc").over(by).alias("next"))
+    shared = written(lists.where("leader < doc OR leader < next").drop("next"))
+
+    similar, needed = _candidates(shared, "leader", "doc", num, den)
+    near = shared.withColumnRenamed("nl", "doc_nl").where("leader < doc").where(similar).groupBy("leader", "leader_nl", "doc", "doc_nl").count()
+    tried = written(near.where(2 * F.col("count") >= needed).select(F.col("leader").alias("a"), F.col("doc").alias("b")))
     linked = _verified(tried, base, k, num, den)
 
-    comp = connected_components(linked).select(F.col("id").alias("doc"), F.col("component").alias("c"))
-    placed = shared.select("token", "d", F.col("d.doc").alias("doc")).join(comp, "doc", "left").select("token", "d", F.coalesce("c", "doc").alias("c"))
-    mixed = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("members")).where("lo < hi").select("token", "members")
-    bits = first.where("token IS NULL").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("doc")).agg(F.first("bits").alias("bits"))
-    placed = checkpoint(placed.join(mixed.withColumn("parts", F.ceil(F.col("members") / SIDE).cast("int")), "token").join(bits, F.col("d.doc") == bits.doc).select("token", "parts", "d", "c", "bits"))
-    own = placed.select("token", F.col("d.doc").alias("doc"), F.col("d.n").cast("long").alias("n"), "c", "bits", "parts", F.pmod(F.xxhash64("d.doc"), F.col("parts")).cast("int").alias("own"))
+    comp = checkpointed_components(linked)
+    comp = F.broadcast(comp) if comp.count() <= BROADCAST_IDS else comp
+    every = W.partitionBy("token")
+    placed = shared.select("token", "doc", "nl").join(comp, "doc", "left").withColumn("c", F.coalesce("c", "doc"))
+    placed = placed.select("*", F.min("c").over(every).alias("lo"), F.max("c").over(every).alias("hi"), F.count("*").over(every).alias("members")).where("lo < hi")
+    placed = placed.select("token", "doc", "nl", "c", F.ceil(F.col("members") / SIDE).cast("int").alias("parts"))
+    bits = first.where("token IS NULL AND n_shingles > 0").select(F.col("doc_id").alias("doc"), "bits").join(reps.withColumnRenamed("doc_id", "doc"), "doc", "left_semi").dropDuplicates(["doc"])
+    own = placed.join(bits, "doc").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
     own = own.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     group = ["token", "lo", "hi"]
-    own = own.select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "doc", "n", "c", "own", "bits").repartition(*group).sortWithinPartitions(*group)
-    cross = own.mapInArrow(_list_batches(num, den), "x long, y long").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).groupBy("a", "b").count()
-    sizes = checkpoint(placed.select("d").distinct())
-    cross = cross.join(sizes.select(F.col("d").alias("x")), F.col("a") == F.col("x.doc")).join(sizes.select(F.col("d").alias("y")), F.col("b") == F.col("y.doc"))
-    cross = cross.where(F.col("count") >= needed("x", "y")).select("a", "b")
-    more = _verified(checkpoint(cross.join(tried, ["a", "b"], "left_anti")), base, k, num, den)
+    own = own.select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "doc", "nl", "c", "own", "bits").repartition(*group).sortWithinPartitions(*group)
+    cross = own.mapInArrow(_list_batches(num, den), "x long, y long, x_nl long, y_nl long").groupBy("x", "y", "x_nl", "y_nl").count()
+    cross = cross.where(F.col("count") >= _candidates(cross, "x", "y", num, den)[1]).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    more = _verified(written(cross.join(tried, ["a", "b"], "left_anti")), base, k, num, den)
 
     final = connected_components(linked.unionByName(more)).select(F.col("id").alias("rep"), "component")
-    member = rows.join(classes, ["n_shingles", "d1", "d2"], "left").join(final, "rep", "left")
-    return member.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
+    classes = written(classes.join(final, "rep", "left").select(*same, F.coalesce("component", "rep").alias("component_id"), "members"))
+    found = lookup(rows.where("n_shingles > 0"), classes, same, "members", members).unionByName(rows.where("n_shingles = 0").withColumn("component_id", F.col("doc_id")))
+    return found.select("doc_id", "n_shingles", *carry, F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def checkpointed_components(links: DataFrame) -> DataFrame:
+    """(doc, c) of every linked document."""
+    return written(connected_components(links).select(F.col("id").alias("doc"), F.col("component").alias("c")))

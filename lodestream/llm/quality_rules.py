@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import lookup, written
 
 SYMBOLS = "#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -80,13 +80,17 @@ _CONTINUATION = [bytes([b]) for b in range(0x80, 0xC0)]
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         got = np.array([text_counts(t) for t in b.column("text").to_pylist()], dtype=np.int64).reshape(-1, len(COUNTS))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("host"), *(pa.array(got[:, i]) for i in range(len(COUNTS)))], names=["doc_id", "host", *COUNTS])
+        yield pa.RecordBatch.from_pydict({**{c: b.column(c) for c in b.schema.names if c != "text"}, **{c: pa.array(got[:, i]) for i, c in enumerate(COUNTS)}})
 
 
-def document_counts(docs: DataFrame, host: str = "source") -> DataFrame:
-    """One row per document: doc_id, host, the five counts and base_failed."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text"))
-    out = base.mapInArrow(_count_batches, "doc_id long, host string, " + ", ".join(f"{c} long" for c in COUNTS))
+def document_counts(docs: DataFrame, host: str = "source", carry: tuple = ()) -> DataFrame:
+    """One row per document: doc_id, host, the five counts, base_failed, and the columns of ``carry`` as the struct row."""
+    more = (F.struct(*carry).alias("row"),) * bool(carry)
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text"), *more)
+    schema = base.drop("text").schema
+    for c in COUNTS:
+        schema = schema.add(c, "long")
+    out = base.mapInArrow(_count_batches, schema)
     return out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
@@ -109,8 +113,11 @@ def host_verdicts(counts: DataFrame, max_rate: float = 0.5, min_docs: int = 20)
     return shrunk.select("host", "host_docs", "host_failed", "host_rate", ((F.col("host_rate") <= max_rate) | (F.col("host_docs") < min_docs)).alias("host_kept"))
 
 
-def judge(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
-    """The counts of every document with base_failed and kept."""
-    counts = checkpoint(document_counts(docs, host))  # texts are counted once
-    verdicts = host_verdicts(counts, **limits).select("host", "host_rate", "host_kept")
-    return counts.join(verdicts, "host", "left").select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & F.coalesce("host_kept", F.lit(True))).alias("kept"), F.col("host_rate"))
+def judge(docs: DataFrame, host: str = "source", carry: tuple = (), **limits) -> DataFrame:
+    """The counts of every document with base_failed and kept, and the columns of ``carry`` as the struct row."""
+    counts = written(document_counts(docs, host, carry))  # texts are counted once
+    verdicts = written(host_verdicts(counts, **limits).select("host", "host_docs", "host_rate", "host_kept"))
+    total = verdicts.agg(F.coalesce(F.sum("host_docs"), F.lit(0))).first()[0]
+    said = lookup(counts, verdicts, ["host"], "host_docs", total)
+    silent = counts.where("host IS NULL").withColumns({"host_rate": F.lit(None).cast("double"), "host_kept": F.lit(True)})
+    return said.unionByName(silent).select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & F.col("host_kept")).alias("kept"), "host_rate", *("row",) * bool(carry))

@@ -190,6 +190,17 @@ def test_url_templates_learn_from_labels(spark):
     assert all(r.verdict == ("block" if k % 2 else "allow") for k, r in got.items())
 
 
+def test_urls_pool_similar_branches_at_any_depth(spark):
+    """Forty branches with one blocked page each are too few alone but alike; a branch that differs keeps apart, deep down too."""
+    deep = "a/b/c/d/e/f/g/h/i"
+    urls = [*(f"http://h.org/{deep}/spam{chr(97 + i % 26)}{chr(97 + i // 26)}/{k}" for i in range(40) for k in range(2)), *(f"http://h.org/{deep}/fine/{k}" for k in range(19)), *(f"http://h.org/{deep}/other/{k}" for k in range(5))]
+    pages = spark.createDataFrame([(i, u, 1, "x") for i, u in enumerate(urls)], "page_id long, url string, n int, template string")
+    labels = spark.createDataFrame([*((2 * i, 1) for i in range(40)), *((80 + k, 0) for k in range(19))], "page_id long, blocked int")
+    got = by_id(url_filter.judge(pages, labels), "page_id")
+    assert {("spam" in u, got[i].verdict) for i, u in enumerate(urls)} == {(True, "block"), (False, "allow")}
+    assert url_filter.judge(pages.limit(0), labels).count() == 0 and url_filter.judge(pages.union(pages), labels).count() == 2 * len(urls)
+
+
 @pytest.mark.parametrize("n", (10, 100, 10_000))
 def test_urls_without_labels_are_not_judged_by_their_siblings(spark, n):
     """Explicit rules block /es/ and /fr/ of a .net host; nothing is known of /en/, of /de/ or of many further branches."""
@@ -252,17 +263,29 @@ def test_embeddings(spark):
     assert all(got[i].component_id == min({i, *true[i]}) for i in (1, 61, 93)) and got[94].kept
 
 
-def test_recall_right_at_the_threshold():
+@pytest.mark.parametrize(("dim", "vectors"), ((64, 1_000), (64, 1_000_000), (768, 50_000)))
+def test_recall_right_at_the_threshold(dim, vectors):
     rng = np.random.default_rng(4)
-    b, alpha = embedding_dedup.plan_code(50_000, 0.93)
-    code, met = embedding_dedup.Code(64, b, alpha), 0
-    for _ in range(400):
-        x, y = rng.standard_normal((2, 64))
+    codes, met = embedding_dedup.all_codes(dim, *embedding_dedup.plan_code(vectors, 0.93)), 0
+    for _ in range(200):
+        x, y = rng.standard_normal((2, dim))
         x /= np.linalg.norm(x)
         y -= (x @ y) * x
         z = 0.93 * x + np.sqrt(1 - 0.93**2) * y / np.linalg.norm(y)
-        met += len(np.intersect1d(code.decode(x), code.decode(z))) > 0
-    assert met >= 0.95 * 400
+        met += len(np.intersect1d(embedding_dedup.all_filters(codes, x), embedding_dedup.all_filters(codes, z))) > 0
+    assert met >= 0.95 * 200
+
+
+def test_embeddings_keep_types_ties_and_names(spark):
+    """Double components and labels are not rounded; clashing columns, equal vectors and an empty table."""
+    x = [1.0, 1e30, 0.5]
+    schema = "vec_id long, embedding array<double>, label double, rep string, filter int, copies int, label_2 int"
+    rows = [(i, x, 1.2, "r", 0, 1, 2) for i in range(1500)] + [(2000, x, 1.7, None, None, None, None), (2001, [1.0, float("inf")], 1.2, None, None, None, None), (None, x, 1.2, None, None, None, None), (2002, [], 1.2, None, None, None, None)]
+    frame = spark.createDataFrame(rows, schema)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.dedup(frame).collect()}
+    assert all(got[i] == (1499, 0, i == 0) for i in range(1500))
+    assert got[2000] == (0, 2000, True) and got[2001] == (0, 2001, True) and got[2002] == (0, 2002, True) and got[None] == (0, None, None)
+    assert embedding_dedup.dedup(spark.createDataFrame([], schema)).count() == 0
 
 
 def test_deobfuscation():

@@ -6,6 +6,7 @@ from collections import Counter
 import corpus_pipeline
 import public_tokenizers
 
+from lodestream.llm.common import written
 from lodestream.llm.queries import PACK_TOKENIZER
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -27,7 +28,7 @@ def test_stages_with_null_and_repeated_ids(spark, tmp_path):
     docs = spark.createDataFrame([(i, t, "en", None, 0) for i, t in rows], SCHEMA)
 
     def run(stage, docs):
-        out = stage(spark, docs, str(tmp_path)).localCheckpoint()
+        out = written(stage(spark, docs, str(tmp_path)))
         return out, Counter((r.doc_id, r.text) for r in out.collect())
 
     docs, got = run(corpus_pipeline.drop_toxic, docs)
