@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint, shared_folder, written
 
-__all__ = ["BROADCAST_IDS", "WORD", "checkpoint", "connected_components", "crc32_text", "lookup", "only", "shared_folder", "written"]
+__all__ = ["BROADCAST_IDS", "WORD", "checkpoint", "connected_components", "crc32_text", "lookup", "only", "shared_folder", "texts", "values", "written"]
 
 #: Word of the contracts: a maximal run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,6 +28,17 @@ def crc32_text(text: Column) -> Column:
     return F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))
 
 
+def values(b: pa.RecordBatch, *columns: str, rows: int = 256) -> Iterator[tuple]:
+    """Tuples of the columns as Python objects, made for a few rows at a time."""
+    for at in range(0, b.num_rows, rows):
+        part = b.slice(at, rows)
+        yield from zip(*(part.column(c).to_pylist() for c in columns), strict=True)
+
+
+def texts(b: pa.RecordBatch) -> Iterator[str | None]:
+    return (t for (t,) in values(b, "text"))
+
+
 def lookup(rows: DataFrame, table: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
     """``rows`` inner-joined with ``table``, which has one row a key; its column ``count`` says how many rows bear the key, ``total`` how many there are.
 

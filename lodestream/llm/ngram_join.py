@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, connected_components, lookup, written
+from .common import BROADCAST_IDS, connected_components, lookup, values, written
 
 #: Tokens of a counting window; a token in at least ``HOT_IN_WINDOW`` different sets of one is counted as frequent.
 WINDOW_TOKENS, HOT_IN_WINDOW = 1 << 21, 3
@@ -41,7 +41,7 @@ WINDOW_TOKENS, HOT_IN_WINDOW = 1 << 21, 3
 HOT = 65_536
 #: Longest prefix extension tried, and cost of verifying a pair in postings scanned.
 MOST_MATCHES, VERIFY_COST = 8, 40.0
-WORD_CACHE = 500_000
+WORD_CACHE = 150_000
 #: Members of a block of a list, and bits of a parity bitmap.
 SIDE, BITS = 512, 512
 #: A set of n tokens with prefix extension l is written n * NL + l.
@@ -75,7 +75,7 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
 
 
 def _texts(b: pa.RecordBatch):
-    return zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True)
+    return values(b, "doc_id", "text")
 
 
 def parity(s: np.ndarray) -> bytes:
@@ -166,8 +166,9 @@ def _prefix_batches(k: int, num: int, den: int, table):
 def _set_batches(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [(doc, shingle_set(text, k).tobytes()) for doc, text in _texts(b)]
-            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in got], pa.int64()), pa.array([s for _, s in got], pa.binary())], names=["doc", "tokens"])
+            for at in range(0, b.num_rows, 256):
+                got = [(doc, shingle_set(text, k).tobytes()) for doc, text in _texts(b.slice(at, 256))]
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in got], pa.int64()), pa.array([s for _, s in got], pa.binary())], names=["doc", "tokens"])
 
     return run
 
@@ -176,7 +177,7 @@ def _verify_batches(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = []
-            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
+            for x, y in values(b, "x", "y"):
                 u, v = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
                 both = np.concatenate((u, v))
                 both.sort(kind="stable")

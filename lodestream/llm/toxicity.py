@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, texts, values
 
 #: Letters that a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l"}
@@ -209,7 +209,7 @@ def _gram_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     words, grams = Counter(), Counter()
     held = 0
     for b in batches:
-        for text in b.column("text").to_pylist():
+        for text in texts(b):
             if text:
                 new = text.lower().split()
                 words.update(new)
@@ -242,7 +242,7 @@ def _toxic_features(lm):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, seen = Reader(lm.value, None), Counter()
         for b in batches:
-            for text in b.column("text").to_pylist():
+            for text in texts(b):
                 seen.update(reader.text(text))
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["feature", "n"])
 
@@ -253,7 +253,7 @@ def _feature_counts(lm, table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, seen = Reader(lm.value, table.value), (Counter(), Counter())
         for b in batches:
-            for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
+            for text, toxic in values(b, "text", "toxic"):
                 seen[toxic].update(reader.text(text))
         keys = sorted({*seen[0], *seen[1]})
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([seen[0][k] for k in keys], pa.int64()), pa.array([seen[1][k] for k in keys], pa.int64())], names=["k", "clean", "bad"])
@@ -265,7 +265,7 @@ def _hit_batches(lm, table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(lm.value, table.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array([sorted(reader.text(t)) for t in b.column("text").to_pylist()], pa.list_(pa.int32()))], names=["toxic", "hits"])
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array([sorted(reader.text(t)) for t in texts(b)], pa.list_(pa.int32()))], names=["toxic", "hits"])
 
     return run
 
@@ -275,7 +275,7 @@ def _score_batches(lm, model, names: tuple):
         table, weights, bias = model.value
         reader = Reader(lm.value, table)
         for b in batches:
-            z = np.array([bias + sum(weights[k] for k in reader.text(t)) for t in b.column("text").to_pylist()])
+            z = np.array([bias + sum(weights[k] for k in reader.text(t)) for t in texts(b)])
             columns = {c: b.column(c) for c in names}
             yield pa.RecordBatch.from_pydict({**columns, "score": pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))), pa.float64())})
 
