@@ -14,32 +14,40 @@ ENTITIES = {
     "dagger": "†", "trade": "™", "euro": "€", "pound": "£", "yen": "¥", "cent": "¢", "amp": "&",
 }
 BLOCKS = r"(?i)<\s*(br|/p|/div|/li|/h[1-6]|/tr|/blockquote|/section|/article)[^>]*>"
-#: Numeric entities decoded one by one: those below this code point.
-NUMERIC_BELOW = 256
+LARGEST = 0x10FFFF
+
+
+def _sign(code: Column) -> Column:
+    """The character of a code point; none for surrogates and what lies beyond the last."""
+    valid = (code > 0) & (code <= LARGEST) & ~code.between(0xD800, 0xDFFF)
+    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("")
 
 
 def decode_entities(s: Column) -> Column:
-    """Named entities, and decimal and hexadecimal ones of printable Latin-1; each text is scanned once per entity it could hold."""
+    """Decimal, hexadecimal and named entities. A text is cut before each mark and every piece looked up once; texts without a mark pass."""
+
+    def numeric(p: Column) -> Column:
+        ten, sixteen = F.regexp_extract(p, r"^&#(\d{1,9});", 1), F.regexp_extract(p, r"^&#[xX]([0-9A-Fa-f]{1,8});", 1)
+        code = F.when(ten != "", ten.cast("long")).when(sixteen != "", F.conv(sixteen, 16, 10).cast("long")).otherwise(F.lit(0).cast("long"))
+        return F.when(p.rlike(r"^&#(\d+|[xX][0-9A-Fa-f]+);"), F.concat(_sign(code), F.regexp_replace(p, r"^&#[0-9A-Fa-fxX]+;", ""))).otherwise(p)
 
-    def numeric(code: Column) -> Column:
-        return F.when((code > 0) & (code < NUMERIC_BELOW), F.char(code)).otherwise("")
+    def named(p: Column) -> Column:
+        names = F.create_map(*(F.lit(x) for pair in ENTITIES.items() for x in pair))
+        sign = F.try_element_at(names, F.lower(F.regexp_extract(p, "^&([A-Za-z]+);", 1)))
+        return F.coalesce(F.concat(sign, F.regexp_replace(p, "^&[A-Za-z]+;", "")), p)
 
-    parts = F.split(s, r"(?=&#)")
-    decimal = F.transform(parts, lambda p: F.when(p.rlike(r"^&#\d+;"), F.concat(numeric(F.try_to_number(F.regexp_extract(p, r"^&#(\d{1,7})", 1), F.lit("9999999")).cast("int")), F.regexp_replace(p, r"^&#\d+;", ""))).otherwise(p))
-    out = F.array_join(decimal, "")
-    for name, sign in ENTITIES.items():
-        out = F.regexp_replace(out, f"(?i)&{name};", sign)
-    return out
+    out = F.when(F.contains(s, F.lit("&#")), F.array_join(F.transform(F.split(s, "(?=&#)"), numeric), "")).otherwise(s)
+    return F.when(F.contains(out, F.lit("&")), F.array_join(F.transform(F.split(out, "(?=&)"), named), "")).otherwise(out)
 
 
 def strip_html(h: Column) -> Column:
     """Plain text with one line per block."""
     s = F.regexp_replace(F.coalesce(h, F.lit("")), r"(?s)<!--.*?-->", " ")
     s = F.regexp_replace(s, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
-    for tag in DROPPED:
-        for _ in range(2 if tag == "script" else 1):
-            s = F.regexp_replace(s, rf"(?is)<{tag}[^>]*>.*?</{tag}\s*>", " ")
-        s = F.regexp_replace(s, rf"(?i)<{tag}[^>]*>", " ")
+    tags = "|".join(DROPPED)
+    for _ in range(2):  # what was inside another element may only now stand whole
+        s = F.regexp_replace(s, rf"(?is)<({tags})[^>]*>.*?</\1\s*>", " ")
+    s = F.regexp_replace(s, rf"(?i)<(?:{tags})[^>]*>", " ")
     s = F.regexp_replace(s, BLOCKS, "\n")
     s = decode_entities(F.regexp_replace(s, "<[^>]*>", " "))
     s = F.regexp_replace(s, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")

@@ -9,6 +9,8 @@ FULL = "".join(map(chr, range(0xFF01, 0xFF5F))) + "　"
 HALF = "".join(map(chr, range(0x21, 0x7F))) + " "
 #: White space and punctuation that parts words (the same pattern works in Java and RE2).
 PUNCT = r"[\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}!-/:-@\[-`{-~。，、；：？！“”‘’（）《》【】…—·「」『』〈〉～]+"
+#: The same for texts of ASCII alone, a class that costs a quarter.
+ASCII_PUNCT = r"[\t-\r !-/:-@\[-`{-~]+"
 HAN = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}"
 #: Stop words that tell Latin languages apart, in the order of the vote.
 STOP = {
@@ -27,12 +29,17 @@ def fold_width(s: Column) -> Column:
     return F.lower(F.translate(s, FULL, HALF))
 
 
+def _parted(s: Column, by: str) -> Column:
+    """Folded, each run of white space and punctuation replaced; texts of ASCII alone need neither folding of widths nor the wide class."""
+    return F.when(F.octet_length(s) == F.char_length(s), F.regexp_replace(F.lower(s), ASCII_PUNCT, by)).otherwise(F.regexp_replace(fold_width(s), PUNCT, by))
+
+
 def normalize_title(s: Column) -> Column:
-    return F.regexp_replace(fold_width(s), PUNCT, "")
+    return _parted(s, "")
 
 
 def normalize_text(s: Column) -> Column:
-    return F.trim(F.regexp_replace(fold_width(s), PUNCT, " "))
+    return F.trim(_parted(s, " "))
 
 
 def tokens(s: Column) -> Column:

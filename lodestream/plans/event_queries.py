@@ -65,7 +65,7 @@ def conditional_counts(s, d):
 
 def ministry_distinct_case(s, d):
     o, l, n, u = t(s, d, "orders"), t(s, d, "lineitem"), t(s, d, "nation"), t(s, d, "supplier")
-    j = l.join(o, l.l_orderkey == o.o_orderkey).join(F.broadcast(u), l.l_suppkey == u.s_suppkey).join(F.broadcast(n), u.s_nationkey == n.n_nationkey)
+    j = l.join(o, l.l_orderkey == o.o_orderkey).join(u, l.l_suppkey == u.s_suppkey).join(F.broadcast(n), u.s_nationkey == n.n_nationkey)
     return j.groupBy("n_name").agg(F.countDistinct("o_orderkey").alias("events"), F.countDistinct(F.when(F.col("o_orderstatus") == "O", F.col("o_orderkey"))).alias("active"), F.countDistinct(F.when(F.col("l_returnflag") == "R", F.col("o_orderkey"))).alias("disputed"))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -10,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 
 def fetch_health(log: DataFrame, interval: int = 30) -> DataFrame:
     """Failures in a row, waiting minutes and health of each source after its whole log. log: user_id, event_id, ts, event_type.
@@ -40,14 +41,25 @@ def fixed_window(calls: DataFrame, seconds: int, most: int) -> DataFrame:
 
 
 def run_available(spark: SparkSession, path: str, transform: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
-    """Run a stream over all files that are there and return what it wrote, as a test of stream = batch."""
+    """Run a stream over all files that are there and return what it wrote, as a test of stream = batch.
+
+    Appended rows go to files in the shared folder; a complete result replaces the table there with every micro-batch. Nothing
+    passes the driver.
+    """
     raw = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", path.rsplit("/", 1)[1]).parquet(path.rsplit("/", 1)[0])
-    events = raw.withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"stream_{uuid.uuid4().hex[:12]}"
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    query = transform(events).writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    out = transform(raw.withColumn("ts", F.col("ts").cast("timestamp")))
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    spark.createDataFrame([], out.schema).write.parquet(f"{base}/out")
+    sink = out.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+
+    def replace(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out")
+
+    def append(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch-{number}")  # a batch that is run again writes the same place
+
+    sink.foreachBatch(replace if mode == "complete" else append).start().awaitTermination()
+    return spark.read.schema(out.schema).option("recursiveFileLookup", "true").parquet(f"{base}/out")
 
 
 def latest(rows: DataFrame, key: str, *order: str) -> DataFrame:
