@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint, shared_folder, written
 
-__all__ = ["BROADCAST_IDS", "WORD", "checkpoint", "connected_components", "crc32_text", "lookup", "only", "shared_folder", "texts", "values", "written"]
+__all__ = ["BROADCAST_IDS", "WORD", "checkpoint", "connected_components", "crc32_text", "lookup", "only", "shared_folder", "take_over", "texts", "values", "written"]
 
 #: Word of the contracts: a maximal run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,6 +28,17 @@ def crc32_text(text: Column) -> Column:
     return F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))
 
 
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def take_over(owner: str, clear: Callable[[], None] = lambda: None) -> None:
+    """Called at the start of an operator's task in a Python worker: what other operators keep there between their tasks is cleared, so that caches never add up."""
+    for other in [k for k in _HELD if k != owner]:
+        _HELD.pop(other)()
+        pa.default_memory_pool().release_unused()
+    _HELD[owner] = clear
+
+
 def values(b: pa.RecordBatch, *columns: str, rows: int = 256) -> Iterator[tuple]:
     """Tuples of the columns as Python objects, made for a few rows at a time."""
     for at in range(0, b.num_rows, rows):

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, connected_components, lookup, values, written
+from .common import BROADCAST_IDS, connected_components, lookup, take_over, values, written
 
 #: Tokens of a counting window; a token in at least ``HOT_IN_WINDOW`` different sets of one is counted as frequent.
 WINDOW_TOKENS, HOT_IN_WINDOW = 1 << 21, 3
@@ -95,6 +95,7 @@ def _digest_batches(k: int, carry: tuple):
         return pa.RecordBatch.from_arrays([*(none,) * len(whole), pa.array(token[hot]), pa.array(count[hot].astype(np.int64)), pa.nulls(len(none), pa.binary())], schema=schema) if hot.any() else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("shingles", _HASH.clear)
         window, held = {}, 0
         for b in batches:
             rows, bits = [], []
@@ -146,6 +147,7 @@ def _prefix_batches(k: int, num: int, den: int, table):
     schema = pa.schema([("doc", pa.int64()), ("nl", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("shingles", _HASH.clear)
         hot, sets = table.value
         for b in batches:
             docs, sizes, tokens = [], [], []
@@ -165,6 +167,7 @@ def _prefix_batches(k: int, num: int, den: int, table):
 
 def _set_batches(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("shingles", _HASH.clear)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 got = [(doc, shingle_set(text, k).tobytes()) for doc, text in _texts(b.slice(at, 256))]

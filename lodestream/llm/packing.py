@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, take_over, values
 
 CAPACITY = 2048
 BLOCK = 4096
@@ -123,10 +123,11 @@ _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def _cut_batches(path: str, capacity: int, end: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("packing", _OPEN.clear)
         ids = ids_of(path)
         for b in batches:
             docs, number, start, length, crc = [], [], [], [], []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+            for doc, text in values(b, "doc_id", "text"):
                 for k, (a, n, c) in enumerate(cut(ids.of(text or "") + end, capacity)):
                     docs.append(doc)
                     number.append(k)

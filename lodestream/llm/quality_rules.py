@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, texts, written
+from .common import lookup, take_over, texts, written
 
 SYMBOLS = "#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -78,6 +78,7 @@ _CONTINUATION = [bytes([b]) for b in range(0x80, 0xC0)]
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    take_over("quality")
     for b in batches:
         got = np.array([text_counts(t) for t in texts(b)], dtype=np.int64).reshape(-1, len(COUNTS))
         yield pa.RecordBatch.from_pydict({**{c: b.column(c) for c in b.schema.names if c != "text"}, **{c: pa.array(got[:, i]) for i, c in enumerate(COUNTS)}})

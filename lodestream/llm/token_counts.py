@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import take_over, texts
+
 #: Entries of a summary and of the broadcast table: at most about 2 MB.
 FREQUENT = 32_768
 #: Entries of a worker's cache.
@@ -46,7 +48,7 @@ def _summarise(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for b in batches:
-            for text in b.column("text").to_pylist():
+            for text in texts(b):
                 if text:
                     seen.update(w for w in text.split(" ") if len(w) <= 64)
                     if len(seen) > 8 * size:
@@ -118,13 +120,14 @@ _OPEN: dict = {}
 
 def _count(model: str, table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("tokens", _OPEN.clear)
         key = (model, table.id if hasattr(table, "id") else id(table))
         if key not in _OPEN:
             _OPEN.clear()
             _OPEN[key] = Lengths(model, *table.value)
         lengths = _OPEN[key]
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array([lengths.count(t) for t in b.column("text").to_pylist()], pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array([lengths.count(t) for t in texts(b)], pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     return run
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, texts, values
+from .common import checkpoint, take_over, texts, values
 
 #: Letters that a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l"}
@@ -158,6 +158,7 @@ class Reader:
     """Features of texts, as numbers of a given table; tokens known to have none are remembered up to a bound."""
 
     def __init__(self, lm: Trigrams, table: dict[str, int] | None) -> None:
+        take_over("toxicity")
         self.lm, self.table = lm, table
         self.dull: set[str] = set()
         self.telling: dict[str, frozenset] = {}
@@ -206,6 +207,7 @@ def _grams(words: Counter) -> Counter:
 
 
 def _gram_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    take_over("toxicity")
     words, grams = Counter(), Counter()
     held = 0
     for b in batches:
