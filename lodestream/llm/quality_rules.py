@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, take_over, texts, written
+from .common import checkpoint, lookup, take_over, texts, written
 
 SYMBOLS = "#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -116,7 +116,7 @@ def host_verdicts(counts: DataFrame, max_rate: float = 0.5, min_docs: int = 20)
 
 def judge(docs: DataFrame, host: str = "source", carry: tuple = (), **limits) -> DataFrame:
     """The counts of every document with base_failed and kept, and the columns of ``carry`` as the struct row."""
-    counts = written(document_counts(docs, host, carry))  # texts are counted once
+    counts = (checkpoint if carry else written)(document_counts(docs, host, carry))  # texts are counted once; writing and reading whole texts as Parquet takes memory beside the heap
     verdicts = written(host_verdicts(counts, **limits).select("host", "host_docs", "host_rate", "host_kept"))
     total = verdicts.agg(F.coalesce(F.sum("host_docs"), F.lit(0))).first()[0]
     said = lookup(counts, verdicts, ["host"], "host_docs", total)
