@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.llm import mixing, ngram_join, packing, quality_rules, toxicity
-from lodestream.llm.common import only, written
+from lodestream.llm.common import checkpoint, only, written
 from lodestream.llm.queries import PACK_TOKENIZER, table, tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -33,7 +33,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows get a key of their own, written so that it stands, since ids may be null or repeated.
     """
-    rows = written(docs.select(*COLUMNS).withColumn("key", F.monotonically_increasing_id()))
+    rows = checkpoint(docs.select(*COLUMNS).withColumn("key", F.monotonically_increasing_id()))
     keyed = rows.select(F.col("key").alias("doc_id"), "text", F.col("doc_id").alias("id"))
     groups = written(ngram_join.join(keyed, k=5, num=80, den=100, carry=("id",)).select(F.col("doc_id").alias("key"), "id", "component_id"))
     first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first"))
