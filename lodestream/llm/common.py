@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint, shared_folder, written
 
-__all__ = ["BROADCAST_IDS", "WORD", "checkpoint", "connected_components", "crc32_text", "lookup", "only", "shared_folder", "take_over", "texts", "values", "written"]
+__all__ = ["BROADCAST_IDS", "WORD", "checkpoint", "connected_components", "crc32_text", "frugal", "lookup", "only", "shared_folder", "take_over", "texts", "values", "written"]
 
 #: Word of the contracts: a maximal run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -31,11 +32,33 @@ def crc32_text(text: Column) -> Column:
 _HELD: dict[str, Callable[[], None]] = {}
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system, where the C library can do that; without it an idle worker stays as large as it ever was."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's function whose worker gives freed memory back when the task ends, since stages without Python may follow."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 def take_over(owner: str, clear: Callable[[], None] = lambda: None) -> None:
-    """Called at the start of an operator's task in a Python worker: what other operators keep there between their tasks is cleared, so that caches never add up."""
+    """Called at the start of an operator's task in a Python worker: what other operators keep there between their tasks is cleared, so that caches never add up.
+
+    ``clear`` is a function of a module, since a method of a module's table would be shipped with a copy of that table.
+    """
     for other in [k for k in _HELD if k != owner]:
         _HELD.pop(other)()
-        pa.default_memory_pool().release_unused()
+        give_back()
     _HELD[owner] = clear
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, connected_components, lookup, take_over, values, written
+from .common import BROADCAST_IDS, connected_components, frugal, lookup, take_over, values, written
 
 #: Tokens of a counting window; a token in at least ``HOT_IN_WINDOW`` different sets of one is counted as frequent.
 WINDOW_TOKENS, HOT_IN_WINDOW = 1 << 21, 3
@@ -59,6 +59,10 @@ class _WordHash(dict):
 _HASH = _WordHash()
 
 
+def _forget() -> None:
+    _HASH.clear()
+
+
 def shingle_set(text: str | None, k: int) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct k-word shingles; ASCII letters are lower-cased first."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -94,8 +98,10 @@ def _digest_batches(k: int, carry: tuple):
         none = pa.nulls(int(hot.sum()), pa.int64())
         return pa.RecordBatch.from_arrays([*(none,) * len(whole), pa.array(token[hot]), pa.array(count[hot].astype(np.int64)), pa.nulls(len(none), pa.binary())], schema=schema) if hot.any() else None
 
+    @frugal
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        take_over("shingles", _HASH.clear)
+        take_over("shingles", _forget)
         window, held = {}, 0
         for b in batches:
             rows, bits = [], []
@@ -146,8 +152,10 @@ def adaptive_prefix(s: np.ndarray, hot: np.ndarray, sets: np.ndarray, num: int,
 def _prefix_batches(k: int, num: int, den: int, table):
     schema = pa.schema([("doc", pa.int64()), ("nl", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
+    @frugal
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        take_over("shingles", _HASH.clear)
+        take_over("shingles", _forget)
         hot, sets = table.value
         for b in batches:
             docs, sizes, tokens = [], [], []
@@ -166,8 +174,9 @@ def _prefix_batches(k: int, num: int, den: int, table):
 
 
 def _set_batches(k: int):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        take_over("shingles", _HASH.clear)
+        take_over("shingles", _forget)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 got = [(doc, shingle_set(text, k).tobytes()) for doc, text in _texts(b.slice(at, 256))]
@@ -177,6 +186,7 @@ def _set_batches(k: int):
 
 
 def _verify_batches(num: int, den: int):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = []
@@ -217,6 +227,8 @@ def _list_batches(num: int, den: int):
         near = flips <= most
         return i[near], j[near]
 
+    @frugal
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict | None = None
         none = pa.RecordBatch.from_pydict({k: pa.array([], pa.int64()) for k in kinds})

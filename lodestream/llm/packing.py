@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, take_over, values
+from .common import checkpoint, frugal, take_over, values
 
 CAPACITY = 2048
 BLOCK = 4096
@@ -102,6 +102,10 @@ def _byte_letters() -> list[str]:
 _OPEN: dict[str, Ids] = {}
 
 
+def _forget() -> None:
+    _OPEN.clear()
+
+
 def ids_of(path: str) -> Ids:
     if path not in _OPEN:
         _OPEN[path] = Ids(path)
@@ -122,8 +126,9 @@ _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def _cut_batches(path: str, capacity: int, end: bytes):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        take_over("packing", _OPEN.clear)
+        take_over("packing", _forget)
         ids = ids_of(path)
         for b in batches:
             docs, number, start, length, crc = [], [], [], [], []
@@ -243,6 +248,7 @@ _ISLAND = "block long, island int, sizes array<int>, elites array<array<int>>, n
 
 
 def _island_batches(capacity: int, epoch: int):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():

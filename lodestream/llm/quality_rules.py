@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, lookup, take_over, texts, written
+from .common import checkpoint, frugal, lookup, take_over, texts, written
 
 SYMBOLS = "#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -77,6 +77,7 @@ _SYMBOL_BYTES = [s.encode() for s in SYMBOLS]
 _CONTINUATION = [bytes([b]) for b in range(0x80, 0xC0)]
 
 
+@frugal
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     take_over("quality")
     for b in batches:

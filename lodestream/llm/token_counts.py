@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import take_over, texts
+from .common import frugal, take_over, texts
 
 #: Entries of a summary and of the broadcast table: at most about 2 MB.
 FREQUENT = 32_768
@@ -45,6 +45,7 @@ def _packed(counts: Counter) -> pa.RecordBatch:
 
 
 def _summarise(size: int):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for b in batches:
@@ -61,6 +62,7 @@ def _summarise(size: int):
 
 
 def _merge(size: int):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for b in batches:
@@ -118,14 +120,24 @@ class Lengths(dict):
 _OPEN: dict = {}
 
 
+def _forget() -> None:
+    _OPEN.clear()
+
+
+def _lengths(model: str, table) -> Lengths:
+    """Kept between the tasks of a worker, one at a time."""
+    key = (model, id(table))
+    if key not in _OPEN:
+        _OPEN.clear()
+        _OPEN[key] = Lengths(model, *table.value)
+    return _OPEN[key]
+
+
 def _count(model: str, table):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        take_over("tokens", _OPEN.clear)
-        key = (model, table.id if hasattr(table, "id") else id(table))
-        if key not in _OPEN:
-            _OPEN.clear()
-            _OPEN[key] = Lengths(model, *table.value)
-        lengths = _OPEN[key]
+        take_over("tokens", _forget)
+        lengths = _lengths(model, table)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array([lengths.count(t) for t in texts(b)], pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, take_over, texts, values
+from .common import checkpoint, frugal, take_over, texts, values
 
 #: Letters that a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l"}
@@ -206,6 +206,7 @@ def _grams(words: Counter) -> Counter:
     return out
 
 
+@frugal
 def _gram_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     take_over("toxicity")
     words, grams = Counter(), Counter()
@@ -241,6 +242,7 @@ def language_model(docs: DataFrame) -> Trigrams:
 
 
 def _toxic_features(lm):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, seen = Reader(lm.value, None), Counter()
         for b in batches:
@@ -252,6 +254,7 @@ def _toxic_features(lm):
 
 
 def _feature_counts(lm, table):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, seen = Reader(lm.value, table.value), (Counter(), Counter())
         for b in batches:
@@ -264,6 +267,7 @@ def _feature_counts(lm, table):
 
 
 def _hit_batches(lm, table):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(lm.value, table.value)
         for b in batches:
@@ -273,6 +277,7 @@ def _hit_batches(lm, table):
 
 
 def _score_batches(lm, model, names: tuple):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, weights, bias = model.value
         reader = Reader(lm.value, table)
