@@ -149,13 +149,13 @@ SETDIFF = "WITH k AS (SELECT user_id, event_type AS k, bool_or(ts < TIMESTAMP '2
 
 
 def timeline_union(s, d):
-    e = t(s, d, "events").where("user_id < 20")
+    e = t(s, d, "events")
     items = e.where("event_type = 'error'").select(F.lit("claim").alias("kind"), "user_id", "ts", "event_id").unionByName(e.where("value > 50").select(F.lit("report").alias("kind"), "user_id", "ts", "event_id"))
     first = items.withColumn("k", F.row_number().over(W.partitionBy("user_id", "event_id").orderBy("kind"))).where("k = 1")
     return first.select("kind", "user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "event_id")
 
 
-TIMELINE = "WITH i AS (SELECT 'claim' AS kind, user_id, ts, event_id FROM events WHERE user_id < 20 AND event_type = 'error' UNION ALL SELECT 'report', user_id, ts, event_id FROM events WHERE user_id < 20 AND value > 50) SELECT kind, user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, event_id FROM i QUALIFY row_number() OVER (PARTITION BY user_id, event_id ORDER BY kind) = 1"
+TIMELINE = "WITH i AS (SELECT 'claim' AS kind, user_id, ts, event_id FROM events WHERE event_type = 'error' UNION ALL SELECT 'report', user_id, ts, event_id FROM events WHERE value > 50) SELECT kind, user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, event_id FROM i QUALIFY row_number() OVER (PARTITION BY user_id, event_id ORDER BY kind) = 1"
 
 
 def keyset_page(s, d):
@@ -195,14 +195,17 @@ SUPER = "WITH l AS (SELECT user_id, event_type, max(ts) AS last FROM events GROU
 
 
 def range_conflicts(s, d):
-    e = t(s, d, "events").where("event_type = 'purchase' AND user_id < 60")
-    q = F.when(F.col("event_id") % 3 == 0, "exact").when(F.col("event_id") % 3 == 1, "about").otherwise("at_least")
-    low, high = verify.number_range(F.col("value"), q)
-    return verify.conflicts(e.select(F.col("event_id").alias("claim_id"), F.col("user_id").alias("actor"), F.col("event_type").alias("unit"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"), low.alias("low"), high.alias("high")))
+    """Figures that different suppliers give for one part within 48 hours."""
+    e = t(s, d, "lineitem")
+    q = F.when(F.col("l_linenumber") % 3 == 0, "exact").when(F.col("l_linenumber") % 3 == 1, "about").otherwise("at_least")
+    low, high = verify.number_range(F.col("l_extendedprice"), q)
+    claims = e.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("claim_id"), F.col("l_suppkey").alias("actor"), F.col("l_partkey").alias("unit"), F.unix_timestamp(F.col("l_shipdate").cast("timestamp")).alias("at"), low.alias("low"), high.alias("high"))
+    return verify.conflicts(claims)
 
 
-CONFLICT = """WITH e AS (SELECT event_id, user_id, floor(epoch(ts))::BIGINT AS at, CASE event_id % 3 WHEN 1 THEN value * 0.85 ELSE value END AS low, CASE event_id % 3 WHEN 0 THEN value WHEN 1 THEN value * 1.15 ELSE 'inf'::DOUBLE END AS high FROM events WHERE event_type = 'purchase' AND user_id < 60)
-SELECT a.event_id AS left_id, b.event_id AS right_id FROM e a JOIN e b ON a.event_id < b.event_id AND a.user_id <> b.user_id AND abs(a.at - b.at) <= 172800 WHERE greatest(a.low - b.high, b.low - a.high) > 1 AND greatest(a.low - b.high, b.low - a.high) / greatest(least(a.low, b.low), 1.0) > 0.1"""
+CONFLICT = """WITH e AS (SELECT l_orderkey * 10 + l_linenumber AS event_id, l_suppkey AS user_id, l_partkey AS unit, floor(epoch(l_shipdate))::BIGINT AS at, CASE l_linenumber % 3 WHEN 1 THEN l_extendedprice * 0.85 ELSE l_extendedprice END AS low,
+  CASE l_linenumber % 3 WHEN 0 THEN l_extendedprice WHEN 1 THEN l_extendedprice * 1.15 ELSE 'inf'::DOUBLE END AS high FROM lineitem)
+SELECT a.event_id AS left_id, b.event_id AS right_id FROM e a JOIN e b ON a.unit = b.unit AND a.event_id < b.event_id AND a.user_id <> b.user_id AND abs(a.at - b.at) <= 172800 WHERE greatest(a.low - b.high, b.low - a.high) > 1 AND greatest(a.low - b.high, b.low - a.high) / greatest(least(a.low, b.low), 1.0) > 0.1"""
 
 
 def priority_scores(s, d):

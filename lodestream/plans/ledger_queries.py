@@ -65,11 +65,11 @@ POSTS = """SELECT conv_id, 'https://bsky.app/profile/' || coalesce(nullif(role,
 
 def preview_posts(s, d):
     one = F.concat(F.lit('<div class="tgme_widget_message x" data-post="chan/'), F.col("turn"), F.lit('"><div class="tgme_widget_message_text js">'), escape(F.col("role")), F.lit(" &amp; "), F.col("turn"), F.lit('</div><time datetime="2026-07-29T10:00:00+00:00"></time></div>'))
-    feeds = _gathered(t(s, d, "conversations").where("turn < 40"), one).select("conv_id", F.col("conv_id").cast("string").alias("channel"), F.concat(F.lit("<html>"), F.array_join("xs", "")).alias("body"))
+    feeds = _gathered(t(s, d, "conversations"), one).select("conv_id", F.col("conv_id").cast("string").alias("channel"), F.concat(F.lit("<html>"), F.array_join("xs", "")).alias("body"))
     return social.parse_preview(feeds).select("conv_id", "url", "guid", "content_html", F.unix_timestamp("published_at").alias("at"))
 
 
-PREVIEW = "SELECT conv_id, 'https://t.me/' || conv_id || '/' || turn AS url, 'chan/' || turn AS guid, role || ' &amp; ' || turn AS content_html, 1785319200::BIGINT AS at FROM conversations WHERE turn < 40"
+PREVIEW = "SELECT conv_id, 'https://t.me/' || conv_id || '/' || turn AS url, 'chan/' || turn AS guid, role || ' &amp; ' || turn AS content_html, 1785319200::BIGINT AS at FROM conversations"
 
 
 def outline_round_trip(s, d):

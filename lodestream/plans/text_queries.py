@@ -131,12 +131,13 @@ def doc_hamming_pairs(s, d):
 
 
 def doc_jaccard_pairs(s, d):
-    return linkage.title_pairs(t(s, d, "documents"), 0.62)
+    return linkage.near_copies(t(s, d, "documents"), 0.62)
 
 
-DOC_JACCARD = f"""WITH x AS (SELECT doc_id, list_distinct(list_filter(string_split({NORM.replace('text', 'left(text, 200)')}, ' '), lambda w: length(w) > 1 OR regexp_matches(w, '[0-9]'))) AS w FROM documents),
-g AS (SELECT doc_id, len(w) AS n, unnest(w) AS tok FROM x)
-SELECT a.doc_id AS left_id, b.doc_id AS right_id, round(count(*) / (a.n + b.n - count(*)), 4) AS score FROM g a JOIN g b ON a.tok = b.tok AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING count(*) >= 0.62 * (a.n + b.n - count(*))"""
+DOC_JACCARD = f"""WITH x AS (SELECT doc_id, list_sort(list_distinct(list_filter(string_split({NORM}, ' '), lambda w: length(w) > 1 OR regexp_matches(w, '[0-9]')))) AS w FROM documents),
+c AS (SELECT w, len(w) AS n, min(doc_id) AS rep FROM x WHERE len(w) > 0 GROUP BY w), g AS (SELECT rep, n, unnest(w) AS tok FROM c)
+SELECT rep AS left_id, doc_id AS right_id, 1.0::DOUBLE AS score FROM x JOIN c USING (w) WHERE doc_id <> rep UNION ALL
+SELECT a.rep, b.rep, round(count(*) / (a.n + b.n - count(*)), 4) FROM g a JOIN g b ON a.tok = b.tok AND a.rep < b.rep AND least(a.n, b.n) >= 0.61 * greatest(a.n, b.n) GROUP BY a.rep, b.rep, a.n, b.n HAVING count(*) >= 0.62 * (a.n + b.n - count(*))"""
 
 
 def reprint_chain_roots(s, d):
