@@ -1 +1 @@
-"""Training-data operators: ten dealt operators, their queries and their SQL."""
+"""Training-data operators: thirteen dealt operators, their queries and their SQL."""

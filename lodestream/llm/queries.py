@@ -1,11 +1,11 @@
-"""Queries of the ten operators over their whole tables."""
+"""Queries of the operators over their whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, license_scan, mixing, ngram_join, packing, quality_rules, sharding, token_counts, toxicity, url_filter
+from . import embedding_dedup, filter_audit, hard_negatives, license_scan, mixing, ngram_join, packing, quality_rules, sharding, suffix_dedup, token_counts, toxicity, url_filter
 
 SHARDS = 24
 SIZE_TOKENIZER, PACK_TOKENIZER = "piece_bpe_32k.model", "byte_bpe_50k.json"
@@ -63,5 +63,22 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer(PACK_TOKENIZER), 2048)
 
 
+def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"), 50)
+
+
+def op12_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components become integers, and labels of every seventh row move on by one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("double"))
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), F.when(finite, whole).alias("embedding"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
