@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import desk, search, verify
+from ..operators import desk, search
 from .text_queries import t
 
 TOPICS = ("conflict", "diplomacy", "economy", "health", "investigation")
@@ -92,24 +92,6 @@ a AS (SELECT event_id, string_agg(claim_id::VARCHAR, ',' ORDER BY moment, claim_
 SELECT e.event_id, importance, coalesce(claims, '') AS claims, coalesce(articles, '') AS articles FROM events_ e LEFT JOIN c USING (event_id) LEFT JOIN a USING (event_id)"""
 
 
-def verified_events(s, d):
-    """All claims of every event judged again: stances taken as they count, the ladder, and what each event then holds."""
-    c = _claims(s, d).join(t(s, d, "supplier").select(F.col("s_suppkey").alias("source_id"), F.col("s_nationkey").alias("family")), "source_id")
-    raw = F.when(F.col("l_linenumber") % 4 == 0, "refutes").when(F.col("status") == "disputed", "disputes").when(F.col("source_id") % 2 == 0, "supports").otherwise("reports")
-    party, statement = F.col("source_id") % 6 == 0, F.col("l_linenumber") % 5 == 0
-    e = c.withColumns({"stance": desk.effective_stance(raw, party, statement), "unit": F.col("claim_id") % 2, "party": party})
-    per = e.groupBy("event_id", "unit").agg(*(F.countDistinct(F.when(F.col("stance") == x, F.col("family"))).alias(x) for x in ("supports", "reports", "refutes", "disputes")), F.bool_or("party").alias("party"), F.lit(False).alias("primary_refutes"))
-    judged = per.withColumn("status", verify.status(F.lit(False), F.lit(False), F.lit(False), F.col("party")))
-    return desk.histogram(judged)
-
-
-VERIFIED = f"""WITH {_CLAIMS}, s AS (SELECT event_id, claim_id % 2 AS unit, s_nationkey AS family, source_id % 6 = 0 AS party, CASE WHEN l_linenumber % 4 = 0 THEN 'refutes' WHEN status = 'disputed' THEN 'disputes' WHEN source_id % 2 = 0 THEN 'supports' ELSE 'reports' END AS raw, l_linenumber % 5 = 0 AS statement FROM claims_ JOIN supplier ON s_suppkey = source_id),
-e AS (SELECT *, CASE WHEN raw = 'supports' AND party AND NOT statement THEN 'reports' ELSE raw END AS stance FROM s),
-p AS (SELECT event_id, unit, count(DISTINCT family) FILTER (stance = 'supports') AS su, count(DISTINCT family) FILTER (stance = 'reports') AS re, count(DISTINCT family) FILTER (stance = 'refutes') AS rf, count(DISTINCT family) FILTER (stance = 'disputes') AS di, bool_or(party) AS party FROM e GROUP BY ALL),
-j AS (SELECT event_id, CASE WHEN di > 0 THEN 'disputed' WHEN rf >= 2 THEN 'refuted' WHEN rf = 1 THEN 'disputed' WHEN su >= 2 THEN 'corroborated' WHEN su = 1 THEN 'partially_corroborated' WHEN re > 0 AND NOT party THEN 'reported' ELSE 'unverified' END AS status FROM p)
-SELECT event_id, {", ".join(f"count(*) FILTER (status = '{x}') AS {x}" for x in desk.STATUSES)} FROM j GROUP BY 1"""
-
-
 def status_histogram(s, d):
     return desk.histogram(_claims(s, d))
 
@@ -474,7 +456,7 @@ def live_keys(s, d):
 LIVE_KEYS = "SELECT key, value FROM (SELECT user_id AS key, arg_max(event_type, event_id) AS value, max(event_id) AS m FROM events GROUP BY 1) WHERE m % 4 = 0 OR m % 1000 > 500"
 
 PAIRS = {
-    "event_tabs": (event_tabs, TABS), "claims_nested": (claims_nested, NESTED), "event_detail": (event_detail, DETAIL), "verified_events": (verified_events, VERIFIED), "status_histogram": (status_histogram, HISTOGRAM), "source_list": (source_list, SOURCES), "queue_counts": (queue_counts, QUEUE),
+    "event_tabs": (event_tabs, TABS), "claims_nested": (claims_nested, NESTED), "event_detail": (event_detail, DETAIL),  "status_histogram": (status_histogram, HISTOGRAM), "source_list": (source_list, SOURCES), "queue_counts": (queue_counts, QUEUE),
     "alert_inbox": (alert_inbox, INBOX), "active_of_top": (active_of_top, ACTIVE), "fetch_log_named": (fetch_log_named, LOG), "current_reports": (current_reports, REPORTS), "briefing_changes": (briefing_changes, DELTA), "routed_events": (routed_events, ROUTED), "cited_claims": (cited_claims, CITED),
     "party_coverage": (party_coverage, PARTY), "entity_merge": (entity_merge, ENTITY), "topic_merge": (topic_merge, TOPIC), "event_updates": (event_updates, UPDATES), "desk_digest": (desk_digest, DIGEST), "tick_rollup": (tick_rollup, TICKS), "category_top8": (category_top8, TOP8), "next_sequence": (next_sequence, SEQUENCE),
     "latest_per_type": (latest_per_type, LATEST), "breaking_ids": (breaking_ids, BREAKING), "featured_reports": (featured_reports, FEATURED), "live_timeline": (live_timeline, LIVE), "search_or_recent": (search_or_recent, RECENT), "work_ids": (work_ids, WORK), "unique_rows": (unique_rows, UNIQUE),
