@@ -13,12 +13,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: States in which a case counts as reviewed, and statuses of a claim.
-REVIEWED = ("approved", "dispatched", "reporting", "completed")
+REVIEWED = ("remanded", "approved", "dispatched", "completed")
 STATUSES = ("unverified", "reported", "partially_corroborated", "corroborated", "disputed", "refuted", "outdated")
 #: What an event must be of to stand under a tab.
-TABS = {"domestic": ("country", ("cn",)), "diplomacy": ("topic", ("diplomacy", "intl_politics", "sanctions", "election")), "economy": ("topic", ("economy", "finance", "energy"))}
+TABS = {"domestic": ("country", ("cn",)), "diplomacy": ("topic", ("diplomacy", "defense", "conflict")), "economy": ("topic", ("economy", "policy", "finance", "energy"))}
 #: Categories of sources, and which an event of some topic needs.
-CATEGORIES = ("gov_cn", "official_media_cn", "market_media_cn", "gov_intl", "intl_org", "wire", "intl_media", "local_media", "party_media", "factcheck", "data", "social", "other")
+CATEGORIES = ("gov_cn", "official_media_cn", "market_media_cn", "social_cn", "gov_intl", "intl_org", "wire", "intl_media", "local_media", "party_media", "social", "data", "factcheck")
 NEEDED = (
     (("conflict", "defense"), None, ("wire", "local_media", "intl_org")),
     (("diplomacy", "intl_politics", "election", "sanctions"), None, ("gov_intl", "wire", "intl_media")),
@@ -82,14 +82,16 @@ def histogram(claims: DataFrame) -> DataFrame:
 
 
 def merge_counts(current: DataFrame, incoming: DataFrame, most: int = 16, cap: int = 999) -> DataFrame:
-    """(event_id, slug, n): counts summed per slug and capped, the ``most`` largest of an event."""
-    n = current.unionByName(incoming).groupBy("event_id", "slug").agg(F.least(F.sum("n"), F.lit(cap)).alias("n"))
+    """(event_id, slug, n): counts, each at least 1, summed per slug and capped, the ``most`` largest of an event."""
+    each = F.greatest(F.col("n"), F.lit(1))
+    n = current.unionByName(incoming).groupBy("event_id", "slug").agg(F.least(F.sum(each), F.lit(cap)).alias("n"))
     return n.withColumn("pos", F.row_number().over(W.partitionBy("event_id").orderBy(F.desc("n"), "slug"))).where(F.col("pos") <= most)
 
 
-def merge_topics(*groups: Column, most: int = 8) -> Column:
-    """Topics of several arrays, each once, in the order in which they first stand."""
-    return F.slice(F.array_distinct(F.filter(F.flatten(F.array(*groups)), lambda x: x.isNotNull())), 1, most)
+def merge_topics(keys: tuple[str, ...], *groups: Column, most: int = 8) -> Column:
+    """Topics of several arrays, each once, in the order of the list of ``keys``; others are left out."""
+    found = F.flatten(F.array(*groups))
+    return F.slice(F.filter(F.array(*map(F.lit, keys)), lambda k: F.coalesce(F.array_contains(found, k), F.lit(False))), 1, most)
 
 
 def needed_categories(topics: Column, countries: Column) -> Column:
@@ -107,7 +109,7 @@ def needed_categories(topics: Column, countries: Column) -> Column:
 def featured(reports: DataFrame) -> DataFrame:
     """The most credible report of each event. reports: event_id, article_id, weight, corroborated, verified, healthy, party, primary, reprint, paywalled, published."""
     score = F.col("weight") + 50 * F.col("corroborated").cast("int") + 24 * F.col("verified").cast("int") + 16 * F.col("healthy").cast("int") + 12 * (~F.col("party")).cast("int") + 12 * F.col("primary").cast("int") + 8 * (~F.col("reprint")).cast("int") - 4 * F.col("paywalled").cast("int")
-    rows = reports.withColumn("score", score).withColumn("level", F.when(F.col("score") >= 80, "high").when(F.col("score") >= 50, "medium").otherwise("low"))
+    rows = reports.withColumn("score", score).withColumn("level", F.when(F.col("score") >= 80, "high").when(F.col("score") >= 50, "medium").otherwise("limited"))
     best = F.struct("score", "published", (-F.col("article_id")).alias("low"), "level")
     return rows.groupBy("event_id").agg(F.max(best).alias("b")).select("event_id", (-F.col("b.low")).alias("article_id"), F.col("b.score").alias("score"), F.col("b.level").alias("level"))
 
@@ -139,17 +141,23 @@ def answer_rows(ranked: DataFrame, question_terms: list[str], most: int = 6, sen
 
 
 def ask_filters(articles: DataFrame, cutoff: str, official: tuple = (), civilian: bool = False, no_reprints: bool = False, cross_verified: bool = False) -> DataFrame:
-    """Articles up to the cutoff that fit the filters, each id once. articles: article_id, at, category, party, reprint, families."""
-    fits = F.col("at") <= F.lit(cutoff).cast("timestamp")
+    """Articles up to the cutoff that fit the filters. Of rows with one id the first up to the cutoff stands, whether it fits or not.
+
+    articles: article_id, pos, at (without one an article is up to any cutoff), category, party, civilian, reprint, cross_verified, families.
+    """
+    rest = [c for c in articles.columns if c != "article_id"]
+    known = articles.where(F.col("at").isNull() | (F.col("at") <= F.lit(cutoff).cast("timestamp")))
+    first = known.groupBy("article_id").agg(F.min_by(F.struct(*rest), "pos").alias("a")).select("article_id", "a.*")
+    fits = F.lit(True)
     if official:
-        fits = fits & F.col("category").isin(*official)
+        fits = fits & F.coalesce(F.col("category").isin(*official), F.lit(False))
     if civilian:
-        fits = fits & ~F.col("party")
+        fits = fits & ~(F.coalesce(~F.col("civilian"), F.lit(False)) | F.coalesce(F.col("party"), F.lit(False)) | F.coalesce(F.col("category") == "party_media", F.lit(False)))
     if no_reprints:
-        fits = fits & ~F.col("reprint")
+        fits = fits & ~F.coalesce(F.col("reprint"), F.lit(False))
     if cross_verified:
-        fits = fits & (F.col("families") >= 2)
-    return articles.where(fits).dropDuplicates(["article_id"])
+        fits = fits & (F.coalesce(F.col("cross_verified"), F.lit(False)) | (F.coalesce(F.col("families"), F.lit(0)) >= 2))
+    return first.where(fits)
 
 
 def robots_rules(files: DataFrame, bot: str) -> DataFrame:
@@ -182,14 +190,20 @@ def age_text(at: Column, now: Column) -> Column:
 
 
 def escape_like(s: Column) -> Column:
-    return F.regexp_replace(s, r"([\\%_])", r"\\$1")
+    """Without the signs that mean something in a pattern."""
+    return F.regexp_replace(s, r"[\\%_]", "")
+
 
+def fired_slots(ticks: DataFrame, slots: dict[str, str], zone: str, hourly_from: int = 5) -> DataFrame:
+    """desk, day, slot and fired_at: each slot (name to HH:mm) starts once a local day, at its desk's first tick at or after its time, and one more each local hour.
 
-def due_slots(slots: DataFrame, done: DataFrame, now: Column, zone: str) -> DataFrame:
-    """Briefing slots of the local day whose time has come and that were not run. slots: slot, hm (HH:mm); done: slot, day."""
-    local = F.from_utc_timestamp(now, zone)
-    day = F.date_format(local, "yyyy-MM-dd")
-    return slots.withColumn("day", day).where(F.col("hm") <= F.date_format(local, "HH:mm")).join(done, ["slot", "day"], "left_anti")
+    ticks: desk, at (timestamp, UTC). A slot without a tick on its day is not made up for on another; an hour that a changed
+    clock repeats counts once. One aggregate: nothing is kept in order.
+    """
+    local = F.from_utc_timestamp("at", zone)
+    hm, hour = F.date_format(local, "HH:mm"), F.when(F.minute(local) >= hourly_from, F.concat(F.lit("hourly:"), F.date_format(local, "HH")))
+    due = F.array_compact(F.array(*(F.when(hm >= at, F.lit(name)) for name, at in slots.items()), hour))
+    return ticks.where("at IS NOT NULL").select("desk", "at", F.date_format(local, "yyyy-MM-dd").alias("day"), F.explode(due).alias("slot")).groupBy("desk", "day", "slot").agg(F.min("at").alias("fired_at"))
 
 
 def article_role(party: Column, category: Column) -> Column:
@@ -205,23 +219,29 @@ def merged_events(events: DataFrame, arrived: DataFrame) -> DataFrame:
 
 
 def briefing_delta(now: DataFrame, before: DataFrame) -> DataFrame:
-    """Items of a briefing marked new, changed or same against the one before. Both: event_id, version."""
-    j = now.join(before.select("event_id", F.col("version").alias("old")), "event_id", "left")
-    return j.select("event_id", "version", F.when(F.col("old").isNull(), "new").when(F.col("version") > F.col("old"), "changed").otherwise("same").alias("delta"))
+    """Items of a briefing marked new, changed or same against the one before: changed with a note, or another line or status. Both: event_id, note, line, status."""
+    old = before.select("event_id", F.struct("line", "status").alias("old"))
+    j = now.join(old, "event_id", "left")
+    changed = (F.coalesce("note", F.lit("")) != "") | ~F.col("line").eqNullSafe(F.col("old.line")) | ~F.col("status").eqNullSafe(F.col("old.status"))
+    return j.select("event_id", "line", F.when(F.col("old").isNull(), "new").when(changed, "changed").otherwise("same").alias("delta"))
 
 
 def review_gaps(events: DataFrame) -> DataFrame:
-    """(event_id, code, level): each gap of an event's evidence, the first eight. events: event_id, importance, breaking, originals, articles, families, verified, actionable, refuted, disputed, missing."""
+    """(event_id, code, level, category): each gap of an event's evidence, one for each of the first eight missing categories.
+
+    events: event_id, importance, breaking, originals, articles, families, verified, claims, refuted, disputed, missing (array).
+    """
     high = (F.col("importance") >= 70) | F.col("breaking")
     tests = {
         "NO_ORIGINAL_ARTICLE": (F.col("articles") == 0, True), "ALL_ARTICLES_REPRINTS": ((F.col("articles") > 0) & (F.col("originals") == 0), True), "LOW_SOURCE_INDEPENDENCE": (F.col("families") < 2, None),
         "SOURCE_IDENTITY_UNVERIFIED": ((F.col("articles") > 0) & (F.col("verified") == 0), None), "SOURCE_IDENTITY_PARTIAL": ((F.col("verified") > 0) & (F.col("verified") < F.col("articles")), False),
-        "NO_ACTIONABLE_CLAIMS": (F.col("actionable") == 0, None), "REFUTED_CLAIM_REQUIRES_REDRAFT": (F.col("refuted") > 0, True), "DISPUTED_CLAIM_REQUIRES_BALANCE": (F.col("disputed") > 0, False),
-        "REQUIRED_SOURCE_CATEGORY_MISSING": (F.col("missing") > 0, None),
+        "NO_ACTIONABLE_CLAIMS": (F.col("claims") == 0, None), "REFUTED_CLAIM_REQUIRES_REDRAFT": (F.col("refuted") > 0, True), "DISPUTED_CLAIM_REQUIRES_BALANCE": (F.col("disputed") > 0, None),
     }
     level = {True: F.lit("blocker"), False: F.lit("warning"), None: F.when(high, "blocker").otherwise("warning")}
-    gaps = F.array(*(F.when(test, F.struct(F.lit(code).alias("code"), level[blocks].alias("level"))) for code, (test, blocks) in tests.items()))
-    return events.select("event_id", F.explode(F.slice(F.filter(gaps, lambda g: g.isNotNull()), 1, 8)).alias("g")).select("event_id", "g.code", "g.level")
+    none = F.lit(None).cast("string").alias("category")
+    gaps = F.filter(F.array(*(F.when(test, F.struct(F.lit(code).alias("code"), level[blocks].alias("level"), none)) for code, (test, blocks) in tests.items())), lambda g: g.isNotNull())
+    missing = F.transform(F.slice(F.coalesce("missing", F.array().cast("array<string>")), 1, 8), lambda c: F.struct(F.lit("REQUIRED_SOURCE_CATEGORY_MISSING").alias("code"), F.lit("warning").alias("level"), c.alias("category")))
+    return events.select("event_id", F.inline(F.concat(gaps, missing)))
 
 
 def desk_reports(events: DataFrame, assigned: DataFrame, claims: DataFrame, desks: tuple, most: int = 12) -> DataFrame:
@@ -234,9 +254,9 @@ def desk_reports(events: DataFrame, assigned: DataFrame, claims: DataFrame, desk
 
 
 def throttled(events: DataFrame, locks: DataFrame, now: int, most: int = 2, seconds: int = 1800) -> DataFrame:
-    """The ``most`` most important events without a search in the last ``seconds``. locks: event_id, at (seconds)."""
+    """Of the ``most`` most important events those without a search in the last ``seconds``; no other takes the place of one that is held. locks: event_id, at (seconds)."""
     held = locks.where(F.col("at") > now - seconds).select("event_id")
-    return events.join(held, "event_id", "left_anti").orderBy(F.desc("importance"), "event_id").limit(most)
+    return events.orderBy(F.desc("importance"), F.desc("heat"), F.desc("updated"), "event_id").limit(most).join(held, "event_id", "left_anti")
 
 
 def live_values(entries: DataFrame, now: int) -> DataFrame:

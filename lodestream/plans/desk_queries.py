@@ -15,7 +15,7 @@ from .text_queries import t
 TOPICS = ("conflict", "diplomacy", "economy", "health", "investigation")
 _EVENTS = """events_ AS (SELECT o_orderkey AS event_id, floor(o_totalprice / 3000)::INT AS importance, o_orderkey % 97 AS heat, ['conflict', 'diplomacy', 'economy', 'health', 'investigation'][o_orderkey % 5 + 1] AS topic, CASE WHEN o_custkey % 3 = 0 THEN 'cn' ELSE 'us' END AS country,
  o_orderkey % 50 = 0 AS breaking, o_orderdate AS updated, o_orderstatus AS status, o_custkey, o_orderkey % 4 AS version FROM orders),
-cases AS (SELECT event_id, ['draft', 'approved', 'completed'][event_id % 3 + 1] AS state, event_id % 2 = 0 AS publishable, CASE WHEN event_id % 5 > 0 THEN updated END AS completed_at FROM events_)"""
+cases AS (SELECT event_id, ['draft', 'approved', 'completed', 'remanded', 'reporting'][event_id % 5 + 1] AS state, event_id % 2 = 0 AS publishable, CASE WHEN event_id % 4 > 0 THEN updated END AS completed_at FROM events_)"""
 _CLAIMS = """lines_ AS (SELECT l_orderkey, l_linenumber, max(l_returnflag) AS flag, min(l_suppkey) AS source_id, min(l_shipdate) AS moment, ['AIR', 'RAIL', 'SHIP', 'TRUCK', 'MAIL', 'FOB'][min(l_partkey) % 6 + 1] AS desk, max(l_quantity)::INT AS score FROM lineitem GROUP BY ALL),
 claims_ AS (SELECT l_orderkey AS event_id, l_orderkey * 10 + l_linenumber AS claim_id, CASE flag WHEN 'A' THEN 'corroborated' WHEN 'R' THEN 'disputed' ELSE CASE WHEN l_linenumber % 2 = 0 THEN 'reported' ELSE 'unverified' END END AS status, source_id, moment, l_linenumber, desk, score FROM lines_)"""
 DESKS = ("AIR", "RAIL", "SHIP", "TRUCK", "MAIL", "FOB")
@@ -29,7 +29,7 @@ def _events(s, d):
 
 def _cases(s, d):
     key = F.col("event_id")
-    return _events(s, d).select(key, F.get(F.array(*map(F.lit, ("draft", "approved", "completed"))), (key % 3).cast("int")).alias("state"), (key % 2 == 0).alias("publishable"), F.when(key % 5 > 0, F.col("updated")).alias("completed_at"))
+    return _events(s, d).select(key, F.get(F.array(*map(F.lit, ("draft", "approved", "completed", "remanded", "reporting"))), (key % 5).cast("int")).alias("state"), (key % 2 == 0).alias("publishable"), F.when(key % 4 > 0, F.col("updated")).alias("completed_at"))
 
 
 def _claims(s, d):
@@ -50,9 +50,9 @@ def event_tabs(s, d):
     return out
 
 
-_TAB = {"breaking": "(breaking OR importance >= 70)", "domestic": "country = 'cn'", "intl": "country <> 'cn'", "diplomacy": "topic IN ('diplomacy')", "economy": "topic IN ('economy')"}
+_TAB = {"breaking": "(breaking OR importance >= 70)", "domestic": "country = 'cn'", "intl": "country <> 'cn'", "diplomacy": "topic IN ('diplomacy', 'conflict')", "economy": "topic IN ('economy')"}
 TABS = f"WITH {_EVENTS} " + " UNION ALL ".join(
-    f"(SELECT event_id, '{k}' AS tab FROM events_ e WHERE updated >= TIMESTAMP '1995-01-01' AND importance >= 20 AND {v} AND EXISTS (SELECT 1 FROM cases c WHERE c.event_id = e.event_id AND state IN ('approved', 'completed')) ORDER BY importance DESC, heat DESC, updated DESC, event_id LIMIT 40 OFFSET 5)" for k, v in _TAB.items()
+    f"(SELECT event_id, '{k}' AS tab FROM events_ e WHERE updated >= TIMESTAMP '1995-01-01' AND importance >= 20 AND {v} AND EXISTS (SELECT 1 FROM cases c WHERE c.event_id = e.event_id AND state IN ('remanded', 'approved', 'dispatched', 'completed')) ORDER BY importance DESC, heat DESC, updated DESC, event_id LIMIT 40 OFFSET 5)" for k, v in _TAB.items()
 ) + """ UNION ALL (SELECT event_id, 'ids' AS tab FROM events_ e WHERE topic = 'health' AND country = 'us' AND event_id IN (SELECT l_orderkey FROM lineitem WHERE l_quantity = 50) AND EXISTS (SELECT 1 FROM cases c WHERE c.event_id = e.event_id AND state = 'completed' AND publishable AND completed_at IS NOT NULL)
  ORDER BY importance DESC, heat DESC, updated DESC, event_id LIMIT 200)"""
 
@@ -149,12 +149,16 @@ def current_reports(s, d):
 REPORTS = f"WITH {_EVENTS}, {_CLAIMS}, a AS (SELECT event_id, desk, max(score) AS score FROM claims_ WHERE score > 25 GROUP BY ALL) SELECT r.event_id, r.desk, r.source_id % 3 AS attempt, r.claim_id, a.score FROM claims_ r JOIN cases c ON c.event_id = r.event_id AND c.state = 'completed' JOIN events_ e ON e.event_id = r.event_id AND e.heat % 3 = r.source_id % 3 LEFT JOIN a ON a.event_id = r.event_id AND a.desk = r.desk"
 
 
+def _items(e, line, status):
+    return e.select("event_id", F.when(F.col("heat") == 7, "note").alias("note"), (F.col("version") % line).cast("string").alias("line"), (F.col("heat") % status).cast("string").alias("status"))
+
+
 def briefing_changes(s, d):
-    e = _events(s, d)
-    return desk.briefing_delta(e.where("importance >= 70").select("event_id", "version"), e.where("importance >= 70 AND event_id % 3 > 0").select("event_id", (F.col("heat") % 4).alias("version")))
+    e = _events(s, d).where("importance >= 70")
+    return desk.briefing_delta(_items(e, 4, 5), _items(e.where("event_id % 3 > 0"), 3, 4))
 
 
-DELTA = f"WITH {_EVENTS} SELECT event_id, version, CASE WHEN event_id % 3 = 0 THEN 'new' WHEN version > heat % 4 THEN 'changed' ELSE 'same' END AS delta FROM events_ WHERE importance >= 70"
+DELTA = f"WITH {_EVENTS} SELECT event_id, (version % 4)::VARCHAR AS line, CASE WHEN event_id % 3 = 0 THEN 'new' WHEN heat = 7 OR version % 4 <> version % 3 OR heat % 5 <> heat % 4 THEN 'changed' ELSE 'same' END AS delta FROM events_ WHERE importance >= 70"
 
 
 def routed_events(s, d):
@@ -177,25 +181,25 @@ CITED = f"WITH {_NESTED} SELECT DISTINCT claim_id FROM ev WHERE article_id IN (S
 
 def party_coverage(s, d):
     c = _claims(s, d).join(t(s, d, "supplier").select(F.col("s_suppkey").alias("source_id"), "s_nationkey"), "source_id")
-    got = c.groupBy("s_nationkey").agg(F.count("*").alias("articles"), F.count_if(F.col("l_linenumber") % 5 == 0).alias("statements"), F.countDistinct("source_id").alias("families"))
+    got = c.groupBy("s_nationkey").agg(F.count("*").alias("articles"), F.count_if(F.col("l_linenumber") % 5 == 0).alias("statements"), F.countDistinct(F.when(F.col("l_linenumber") % 5 == 0, F.col("source_id"))).alias("families"))
     wanted = t(s, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
     return wanted.join(got, "s_nationkey", "left").select("n_name", *(F.coalesce(x, F.lit(0)).alias(x) for x in ("articles", "statements", "families")))
 
 
-PARTY = f"WITH {_CLAIMS}, g AS (SELECT s_nationkey, count(*) AS articles, count(*) FILTER (l_linenumber % 5 = 0) AS statements, count(DISTINCT source_id) AS families FROM claims_ JOIN supplier ON s_suppkey = source_id GROUP BY 1) SELECT n_name, coalesce(articles, 0) AS articles, coalesce(statements, 0) AS statements, coalesce(families, 0) AS families FROM nation LEFT JOIN g ON s_nationkey = n_nationkey"
+PARTY = f"WITH {_CLAIMS}, g AS (SELECT s_nationkey, count(*) AS articles, count(*) FILTER (l_linenumber % 5 = 0) AS statements, count(DISTINCT source_id) FILTER (l_linenumber % 5 = 0) AS families FROM claims_ JOIN supplier ON s_suppkey = source_id GROUP BY 1) SELECT n_name, coalesce(articles, 0) AS articles, coalesce(statements, 0) AS statements, coalesce(families, 0) AS families FROM nation LEFT JOIN g ON s_nationkey = n_nationkey"
 
 
 def entity_merge(s, d):
-    hits = _claims(s, d).select((F.col("source_id") % 40).alias("event_id"), F.concat_ws("-", "desk", "status", (F.col("claim_id") % 3).cast("string")).alias("slug"), F.col("score").cast("long").alias("n"), "l_linenumber")
-    return desk.merge_counts(hits.where("l_linenumber < 4").drop("l_linenumber"), hits.where("l_linenumber >= 4 AND n > 40").drop("l_linenumber"))
+    hits = _claims(s, d).select((F.col("source_id") % 40).alias("event_id"), F.concat_ws("-", "desk", "status", (F.col("claim_id") % 3).cast("string")).alias("slug"), (F.col("score").cast("long") - 3).alias("n"), "l_linenumber")
+    return desk.merge_counts(hits.where("l_linenumber < 4").drop("l_linenumber"), hits.where("l_linenumber >= 4 AND n > 37").drop("l_linenumber"))
 
 
-ENTITY = f"WITH {_CLAIMS}, h AS (SELECT source_id % 40 AS event_id, desk || '-' || status || '-' || (claim_id % 3) AS slug, least(sum(score), 999)::BIGINT AS n FROM claims_ WHERE l_linenumber < 4 OR score > 40 GROUP BY ALL) SELECT event_id, slug, n, row_number() OVER (PARTITION BY event_id ORDER BY n DESC, slug) AS pos FROM h QUALIFY pos <= 16"
+ENTITY = f"WITH {_CLAIMS}, h AS (SELECT source_id % 40 AS event_id, desk || '-' || status || '-' || (claim_id % 3) AS slug, least(sum(greatest(score - 3, 1)), 999)::BIGINT AS n FROM claims_ WHERE l_linenumber < 4 OR score > 40 GROUP BY ALL) SELECT event_id, slug, n, row_number() OVER (PARTITION BY event_id ORDER BY n DESC, slug) AS pos FROM h QUALIFY pos <= 16"
 
 
 def topic_merge(s, d):
     e = _events(s, d).withColumn("other", F.get(F.array(*map(F.lit, TOPICS)), (F.col("heat") % 5).cast("int")))
-    merged = desk.merge_topics(F.array("topic"), F.array("other", F.lit("health")))
+    merged = desk.merge_topics(TOPICS, F.array("topic"), F.array("other", F.lit("health"), F.lit("unknown")))
     return e.select("event_id", F.array_join(merged, ",").alias("topics"), F.array_join(desk.needed_categories(merged, F.array("country")), ",").alias("needed"))
 
 
@@ -209,7 +213,7 @@ def _needed_sql() -> str:
 
 
 TOPIC = f"""WITH {_EVENTS}, m AS (SELECT event_id, country, topic AS a, ['conflict', 'diplomacy', 'economy', 'health', 'investigation'][heat % 5 + 1] AS b FROM events_),
-u AS (SELECT event_id, country, list_concat([a], CASE WHEN b <> a THEN [b] ELSE [] END, CASE WHEN a <> 'health' AND b <> 'health' THEN ['health'] ELSE [] END) AS t FROM m) SELECT event_id, array_to_string(t, ',') AS topics, {_needed_sql()} AS needed FROM u"""
+u AS (SELECT event_id, country, list_filter(['conflict', 'diplomacy', 'economy', 'health', 'investigation'], lambda x: x IN (a, b, 'health')) AS t FROM m) SELECT event_id, array_to_string(t, ',') AS topics, {_needed_sql()} AS needed FROM u"""
 
 
 def event_updates(s, d):
@@ -262,10 +266,10 @@ LATEST = "SELECT o_orderpriority, arg_max(o_orderkey, (o_orderdate, o_orderkey))
 
 
 def breaking_ids(s, d):
-    return _events(s, d).where("updated >= '1998-01-01' AND (breaking OR importance >= 70)").orderBy(F.desc("importance"), F.desc("updated"), "event_id").limit(20).select("event_id")
+    return _events(s, d).where("updated >= '1998-01-01' AND (breaking OR importance >= 70)").orderBy(F.desc("importance"), F.desc("heat"), F.desc("updated"), "event_id").limit(20).select("event_id")
 
 
-BREAKING = f"WITH {_EVENTS} SELECT event_id FROM events_ WHERE updated >= TIMESTAMP '1998-01-01' AND (breaking OR importance >= 70) ORDER BY importance DESC, updated DESC, event_id LIMIT 20"
+BREAKING = f"WITH {_EVENTS} SELECT event_id FROM events_ WHERE updated >= TIMESTAMP '1998-01-01' AND (breaking OR importance >= 70) ORDER BY importance DESC, heat DESC, updated DESC, event_id LIMIT 20"
 
 
 def featured_reports(s, d):
@@ -275,7 +279,7 @@ def featured_reports(s, d):
 
 
 FEATURED = f"""WITH {_CLAIMS}, s AS (SELECT event_id, claim_id AS article_id, moment, source_id % 27 + 2 + 50 * (status = 'corroborated')::INT + 24 * (source_id % 2 = 0)::INT + 16 * (source_id % 3 > 0)::INT + 12 * (source_id % 6 > 0)::INT + 12 * (l_linenumber = 1)::INT + 8 * (claim_id % 4 > 0)::INT - 4 * (claim_id % 7 = 0)::INT AS score FROM claims_)
-SELECT event_id, article_id, score, CASE WHEN score >= 80 THEN 'high' WHEN score >= 50 THEN 'medium' ELSE 'low' END AS level FROM s QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY score DESC, moment DESC, article_id) = 1"""
+SELECT event_id, article_id, score, CASE WHEN score >= 80 THEN 'high' WHEN score >= 50 THEN 'medium' ELSE 'limited' END AS level FROM s QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY score DESC, moment DESC, article_id) = 1"""
 
 
 def live_timeline(s, d):
@@ -363,12 +367,17 @@ SELECT row_number() OVER (ORDER BY citation) AS place, doc_id, citation, said ||
 
 
 def asked_articles(s, d):
-    c = _claims(s, d)
-    a = c.select(F.col("claim_id").alias("article_id"), "at", F.when(F.col("source_id") % 4 == 0, "gov_intl").otherwise("wire").alias("category"), (F.col("source_id") % 6 == 0).alias("party"), (F.col("claim_id") % 4 == 0).alias("reprint"), (F.col("source_id") % 3).alias("families"))
-    return desk.ask_filters(a.union(a), "1996-01-01", official=("gov_intl",), civilian=True, no_reprints=True, cross_verified=True).select("article_id")
+    c, id_, src = _claims(s, d), F.col("claim_id"), F.col("source_id")
+    flags = [F.when(src % 4 == 0, "gov_intl").when(src % 4 == 1, "party_media").otherwise("wire").alias("category"), (src % 6 == 0).alias("party"), F.when(src % 5 > 0, src % 5 < 4).alias("civilian"), (id_ % 4 == 0).alias("reprint"), (id_ % 9 == 0).alias("cross_verified"), (src % 3).alias("families")]
+    a = c.select(id_.alias("article_id"), F.lit(1).alias("pos"), F.when(id_ % 8 > 0, F.col("at")).alias("at"), *flags)
+    later = a.withColumns({"pos": F.lit(2), "reprint": F.lit(False), "party": F.lit(False)})  # a second row of an id never stands
+    official = desk.ask_filters(a.unionByName(later), "1996-01-01", official=("gov_intl", "wire"), no_reprints=True, cross_verified=True).select("article_id", F.lit("official").alias("asked"))
+    return official.unionByName(desk.ask_filters(a.unionByName(later), "1996-01-01", civilian=True).select("article_id", F.lit("civilian").alias("asked")))
 
 
-ASKED = f"WITH {_CLAIMS} SELECT claim_id AS article_id FROM claims_ WHERE moment <= TIMESTAMP '1996-01-01' AND source_id % 4 = 0 AND source_id % 6 > 0 AND claim_id % 4 > 0 AND source_id % 3 >= 2"
+ASKED = f"""WITH {_CLAIMS}, u AS (SELECT claim_id AS article_id, source_id, claim_id FROM claims_ WHERE claim_id % 8 = 0 OR moment <= TIMESTAMP '1996-01-01')
+SELECT article_id, 'official' AS asked FROM u WHERE source_id % 4 <> 1 AND claim_id % 4 > 0 AND (claim_id % 9 = 0 OR source_id % 3 >= 2)
+UNION ALL SELECT article_id, 'civilian' FROM u WHERE source_id % 6 > 0 AND source_id % 4 <> 1 AND source_id % 5 <> 4"""
 
 
 def pages_allowed(s, d):
@@ -396,16 +405,23 @@ def like_patterns(s, d):
     return t(s, d, "part").select("p_partkey", F.concat(F.lit("%"), desk.escape_like(F.concat_ws("_", "p_brand", F.lit("5%"), "p_type")), F.lit("%")).alias("pattern"))
 
 
-LIKE = r"SELECT p_partkey, '%' || replace(replace(p_brand || '_5%_' || p_type, '%', '\%'), '_', '\_') || '%' AS pattern FROM part"
+LIKE = r"SELECT p_partkey, '%' || replace(replace(p_brand || '_5%_' || p_type, '%', ''), '_', '') || '%' AS pattern FROM part"
+
+
+SLOTS_AT = {"morning": "07:00", "noon": "12:30", "evening": "19:00"}
 
 
 def slots_due(s, d):
-    slots = s.createDataFrame([("morning", "07:00"), ("noon", "12:30"), ("evening", "19:00")], "slot string, hm string")
-    done = s.createDataFrame([("morning", "2026-07-30")], "slot string, day string")
-    return desk.due_slots(slots, done, F.lit("2026-07-30 05:10:00").cast("timestamp"), "Asia/Shanghai").select("slot", "day")
+    """Briefings that the ticks of three desks started, in weeks in which clocks are changed."""
+    e = t(s, d, "events")
+    ticks = e.select((F.col("user_id") % 3).alias("desk"), (F.col("ts").cast("timestamp") + F.expr("INTERVAL 75 DAYS")).alias("at"))
+    out = desk.fired_slots(ticks, SLOTS_AT, "Europe/Berlin")
+    return out.select("desk", "day", "slot", F.date_format("fired_at", "yyyy-MM-dd HH:mm:ss").alias("fired_at"))
 
 
-SLOTS = "SELECT 'noon' AS slot, '2026-07-30' AS day"
+_TICKS = """k AS (SELECT user_id % 3 AS desk, ts::TIMESTAMP + INTERVAL 75 DAYS AS moment FROM events),
+l AS (SELECT *, moment + CASE WHEN moment >= TIMESTAMP '2024-03-31 01:00:00' AND moment < TIMESTAMP '2024-10-27 01:00:00' THEN INTERVAL 2 HOURS ELSE INTERVAL 1 HOUR END AS here FROM k)"""
+SLOTS = f"WITH {_TICKS} " + " UNION ALL ".join(f"SELECT desk, strftime(here, '%Y-%m-%d') AS day, '{k}' AS slot, strftime(min(moment), '%Y-%m-%d %H:%M:%S') AS fired_at FROM l WHERE strftime(here, '%H:%M') >= '{v}' GROUP BY ALL" for k, v in SLOTS_AT.items()) + " UNION ALL SELECT desk, strftime(here, '%Y-%m-%d') AS day, 'hourly:' || strftime(here, '%H') AS slot, strftime(min(moment), '%Y-%m-%d %H:%M:%S') AS fired_at FROM l WHERE minute(here) >= 5 GROUP BY ALL"
 
 
 def article_roles(s, d):
@@ -417,17 +433,22 @@ ROLES = f"WITH {_CLAIMS} SELECT CASE WHEN source_id % 6 = 0 THEN 'statement' WHE
 
 
 def all_review_gaps(s, d):
-    c = _claims(s, d).join(t(s, d, "supplier").select(F.col("s_suppkey").alias("source_id"), "s_nationkey"), "source_id")
-    per = c.groupBy("event_id").agg(F.count("*").alias("articles"), F.count_if(F.col("claim_id") % 4 > 0).alias("originals"), F.countDistinct("s_nationkey").alias("families"), F.count_if(F.col("source_id") % 2 == 0).alias("verified"), F.count_if(F.col("status").isin("corroborated", "reported")).alias("actionable"), F.count_if(F.col("source_id") % 11 == 0).alias("refuted"), F.count_if(F.col("status") == "disputed").alias("disputed"), F.count_if(F.col("source_id") % 5 == 0).alias("data"))
-    e = _events(s, d).select("event_id", "importance", "breaking").join(per, "event_id", "left").na.fill(0)
-    return desk.review_gaps(e.withColumn("missing", (F.col("data") == 0).cast("int")))
+    c, src = _claims(s, d).join(t(s, d, "supplier").select(F.col("s_suppkey").alias("source_id"), "s_nationkey"), "source_id"), F.col("source_id")
+    has = {"data": F.bool_or(src % 5 == 0), "wire": F.bool_or(src % 3 == 0), "gov_cn": F.bool_or(src % 7 == 0)}
+    per = c.groupBy("event_id").agg(F.count("*").alias("articles"), F.count_if(F.col("claim_id") % 4 > 0).alias("originals"), F.countDistinct("s_nationkey").alias("families"), F.count_if(src % 2 == 0).alias("verified"), F.count_if(src % 13 > 0).alias("claims"), F.count_if(src % 11 == 0).alias("refuted"), F.count_if(F.col("status") == "disputed").alias("disputed"), *(x.alias(k) for k, x in has.items()))
+    missing = F.filter(F.array(*(F.when(~F.coalesce(k, F.lit(False)), k) for k in has)), lambda k: k.isNotNull()).alias("missing")
+    e = _events(s, d).select("event_id", "importance", "breaking").join(per, "event_id", "left").na.fill(0).select("*", missing)
+    return desk.review_gaps(e)
 
 
-GAPS = f"""WITH {_EVENTS}, {_CLAIMS}, p AS (SELECT e.event_id, importance >= 70 OR breaking AS high, count(claim_id) AS articles, count(*) FILTER (claim_id % 4 > 0) AS originals, count(DISTINCT s_nationkey) AS families, count(*) FILTER (source_id % 2 = 0) AS verified, count(*) FILTER (c.status IN ('corroborated', 'reported')) AS actionable, count(*) FILTER (source_id % 11 = 0) AS refuted, count(*) FILTER (c.status = 'disputed') AS disputed, count(*) FILTER (source_id % 5 = 0) AS data
- FROM events_ e LEFT JOIN claims_ c ON c.event_id = e.event_id LEFT JOIN supplier ON s_suppkey = source_id GROUP BY ALL),
-g AS (SELECT event_id, high, unnest([CASE WHEN articles = 0 THEN 'NO_ORIGINAL_ARTICLE' END, CASE WHEN articles > 0 AND originals = 0 THEN 'ALL_ARTICLES_REPRINTS' END, CASE WHEN families < 2 THEN 'LOW_SOURCE_INDEPENDENCE' END, CASE WHEN articles > 0 AND verified = 0 THEN 'SOURCE_IDENTITY_UNVERIFIED' END, CASE WHEN verified > 0 AND verified < articles THEN 'SOURCE_IDENTITY_PARTIAL' END,
- CASE WHEN actionable = 0 THEN 'NO_ACTIONABLE_CLAIMS' END, CASE WHEN refuted > 0 THEN 'REFUTED_CLAIM_REQUIRES_REDRAFT' END, CASE WHEN disputed > 0 THEN 'DISPUTED_CLAIM_REQUIRES_BALANCE' END, CASE WHEN data = 0 THEN 'REQUIRED_SOURCE_CATEGORY_MISSING' END]) AS code FROM p)
-SELECT event_id, code, CASE WHEN code IN ('NO_ORIGINAL_ARTICLE', 'ALL_ARTICLES_REPRINTS', 'REFUTED_CLAIM_REQUIRES_REDRAFT') OR (high AND code NOT IN ('SOURCE_IDENTITY_PARTIAL', 'DISPUTED_CLAIM_REQUIRES_BALANCE')) THEN 'blocker' ELSE 'warning' END AS level FROM g WHERE code IS NOT NULL"""
+GAPS = f"""WITH {_EVENTS}, {_CLAIMS}, p AS (SELECT e.event_id, importance >= 70 OR breaking AS high, count(claim_id) AS articles, count(*) FILTER (claim_id % 4 > 0) AS originals, count(DISTINCT s_nationkey) AS families, count(*) FILTER (source_id % 2 = 0) AS verified, count(*) FILTER (source_id % 13 > 0) AS claims, count(*) FILTER (source_id % 11 = 0) AS refuted, count(*) FILTER (c.status = 'disputed') AS disputed,
+ coalesce(bool_or(source_id % 5 = 0), false) AS data, coalesce(bool_or(source_id % 3 = 0), false) AS wire, coalesce(bool_or(source_id % 7 = 0), false) AS gov FROM events_ e LEFT JOIN claims_ c ON c.event_id = e.event_id LEFT JOIN supplier ON s_suppkey = source_id GROUP BY ALL),
+g AS (SELECT event_id, unnest([CASE WHEN articles = 0 THEN {{'code': 'NO_ORIGINAL_ARTICLE', 'level': 'blocker', 'category': NULL::VARCHAR}} END, CASE WHEN articles > 0 AND originals = 0 THEN {{'code': 'ALL_ARTICLES_REPRINTS', 'level': 'blocker', 'category': NULL::VARCHAR}} END,
+ CASE WHEN families < 2 THEN {{'code': 'LOW_SOURCE_INDEPENDENCE', 'level': CASE WHEN high THEN 'blocker' ELSE 'warning' END, 'category': NULL::VARCHAR}} END, CASE WHEN articles > 0 AND verified = 0 THEN {{'code': 'SOURCE_IDENTITY_UNVERIFIED', 'level': CASE WHEN high THEN 'blocker' ELSE 'warning' END, 'category': NULL::VARCHAR}} END,
+ CASE WHEN verified > 0 AND verified < articles THEN {{'code': 'SOURCE_IDENTITY_PARTIAL', 'level': 'warning', 'category': NULL::VARCHAR}} END, CASE WHEN claims = 0 THEN {{'code': 'NO_ACTIONABLE_CLAIMS', 'level': CASE WHEN high THEN 'blocker' ELSE 'warning' END, 'category': NULL::VARCHAR}} END,
+ CASE WHEN refuted > 0 THEN {{'code': 'REFUTED_CLAIM_REQUIRES_REDRAFT', 'level': 'blocker', 'category': NULL::VARCHAR}} END, CASE WHEN disputed > 0 THEN {{'code': 'DISPUTED_CLAIM_REQUIRES_BALANCE', 'level': CASE WHEN high THEN 'blocker' ELSE 'warning' END, 'category': NULL::VARCHAR}} END,
+ CASE WHEN NOT data THEN {{'code': 'REQUIRED_SOURCE_CATEGORY_MISSING', 'level': 'warning', 'category': 'data'}} END, CASE WHEN NOT wire THEN {{'code': 'REQUIRED_SOURCE_CATEGORY_MISSING', 'level': 'warning', 'category': 'wire'}} END, CASE WHEN NOT gov THEN {{'code': 'REQUIRED_SOURCE_CATEGORY_MISSING', 'level': 'warning', 'category': 'gov_cn'}} END]) AS x FROM p)
+SELECT event_id, x.code, x.level, x.category FROM g WHERE x IS NOT NULL"""
 
 
 def desk_findings(s, d):
@@ -445,7 +466,7 @@ def search_turns(s, d):
     return desk.throttled(_events(s, d), locks, 1_000_000).select("event_id")
 
 
-THROTTLE = f"WITH {_EVENTS} SELECT event_id FROM events_ WHERE NOT (event_id % 2 = 0 AND o_custkey * 10 < 1800) ORDER BY importance DESC, event_id LIMIT 2"
+THROTTLE = f"WITH {_EVENTS} SELECT event_id FROM (SELECT * FROM events_ ORDER BY importance DESC, heat DESC, updated DESC, event_id LIMIT 2) WHERE NOT (event_id % 2 = 0 AND o_custkey * 10 < 1800)"
 
 
 def live_keys(s, d):
