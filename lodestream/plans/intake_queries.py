@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import opened
 from ..operators import identity, seeds
+from ..session import shared_folder
+from ..sources import feeds, replay
+from .ingest_queries import _turns
 from .text_queries import t
 
 
@@ -85,4 +90,29 @@ def seed_faults(s, d):
 _FAULTS = ", ".join(f"({i}, '{name}')" for i, (name, *_) in enumerate(FAULTS) if name)
 SEEDS = f"SELECT c_custkey AS key, fault FROM customer JOIN (VALUES {_FAULTS}) f(i, fault) ON c_custkey % {len(FAULTS)} = i"
 
-PAIRS = {"opened_summaries": (opened_summaries, OPENED), "article_identities": (article_identities, IDENTITIES), "article_arrivals": (article_arrivals, ARRIVALS), "seed_faults": (seed_faults, SEEDS)}
+def answers_of(s, d):
+    """Conversations as recorded answers of three kinds of feeds, a minute apart."""
+    turns, key = _turns(s, d), F.col("conv_id")
+    index = turns.where(key % 3 == 2).groupBy("conv_id").agg(F.to_json(F.struct(F.sort_array(F.collect_list(F.struct("pos", "url", "title"))).alias("articles"))).alias("body"))
+    kinds = {"rss": feeds.render_rss(turns.where(key % 3 == 0), "conv_id"), "jsonfeed": feeds.render_json_feed(turns.where(key % 3 == 1), "conv_id"), "gdelt": index}
+    out = None
+    for adapter, bodies in kinds.items():
+        rows = bodies.select("conv_id", F.concat(F.lit("c"), key.cast("string")).alias("source_id"), F.lit(adapter).alias("adapter"), F.lit(None).cast("string").alias("query"), F.timestamp_seconds(1_700_000_000 + 60 * key).alias("fetched_at"), "body", F.lit(0).alias("offset_minutes"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def feed_answers(s, d):
+    """Items of answers that were recorded in two generations and are read back from the tenth minute on."""
+    path = f"{shared_folder(s)}/answers-{uuid.uuid4().hex}"
+    made = answers_of(s, d)
+    for half in (0, 1):
+        replay.record(made.where(F.col("conv_id") % 2 == half), path)
+    replay.register(s)
+    read = s.read.format("feed_answers").load(path).where(F.col("fetched_at") >= F.timestamp_seconds(F.lit(1_700_000_600)))
+    return replay.dispatch(read).select("source_id", "adapter", "url", "title")
+
+
+ANSWERED = "SELECT 'c' || conv_id AS source_id, ['rss', 'jsonfeed', 'gdelt'][conv_id % 3 + 1] AS adapter, 'https://example.org/' || conv_id || '?turn=' || turn || '&a=1' AS url, role AS title FROM conversations WHERE conv_id >= 10 AND role IS NOT NULL"
+
+PAIRS = {"feed_answers": (feed_answers, ANSWERED), "opened_summaries": (opened_summaries, OPENED), "article_identities": (article_identities, IDENTITIES), "article_arrivals": (article_arrivals, ARRIVALS), "seed_faults": (seed_faults, SEEDS)}
