@@ -127,19 +127,6 @@ def unique_by_id(rows: DataFrame, key: str, value: str, order: str) -> DataFrame
     return rows.groupBy(key).agg(F.max_by(value, order).alias(value), F.min(order).alias(order))
 
 
-def answer_rows(ranked: DataFrame, question_terms: list[str], most: int = 6, sentences: int = 5) -> DataFrame:
-    """Sentences of an extractive answer with their citation numbers: articles with a score, else the first three; equal sentences once.
-
-    ranked: doc_id, source, score, sentence, bounded by the search's own limit, so one task numbers them.
-    """
-    order = W.orderBy(F.desc("score"), "doc_id")
-    top = ranked.withColumns({"pos": F.row_number().over(order), "best": F.max("score").over(W.partitionBy())}).where(F.col("pos") <= most)
-    kept = top.where((F.col("score") > 0) | ((F.col("best") <= 0) & (F.col("pos") <= 3))).withColumn("citation", F.row_number().over(order))
-    said = F.concat(F.lit("According to "), F.col("source"), F.lit(", "), F.col("sentence"))
-    first = kept.withColumn("said", said).withColumn("turn", F.row_number().over(W.partitionBy(F.lower("said")).orderBy("citation"))).where("turn = 1")
-    return first.withColumn("place", F.row_number().over(W.orderBy("citation"))).where(F.col("place") <= sentences).select("place", "doc_id", "citation", F.concat("said", F.lit(" ["), F.col("citation").cast("string"), F.lit("]")).alias("text"))
-
-
 def ask_filters(articles: DataFrame, cutoff: str, official: tuple = (), civilian: bool = False, no_reprints: bool = False, cross_verified: bool = False) -> DataFrame:
     """Articles up to the cutoff that fit the filters. Of rows with one id the first up to the cutoff stands, whether it fits or not.
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import desk, search
+from ..operators import answers, desk, search
 from .text_queries import t
 
 TOPICS = ("conflict", "diplomacy", "economy", "health", "investigation")
@@ -295,12 +295,12 @@ LIVE = f"WITH {_CLAIMS}, o AS (SELECT event_id, moment, 'said by ' || source_id
 
 def search_or_recent(s, d):
     docs = t(s, d, "documents")
-    hits = docs.where(F.lower("text").contains("qqqq")).select("doc_id").orderBy("doc_id").limit(50)
+    hits = docs.where(F.lower("text").contains("pathetic")).select("doc_id").orderBy(F.desc("doc_id")).limit(5)
     recent = docs.orderBy(F.desc("doc_id")).limit(20).select("doc_id")
     return desk.with_fallback(hits, recent)
 
 
-RECENT = "WITH h AS (SELECT doc_id FROM documents WHERE contains(lower(text), 'qqqq') ORDER BY doc_id LIMIT 50), r AS (SELECT doc_id FROM documents ORDER BY doc_id DESC LIMIT 20) SELECT doc_id, doc_id IN (SELECT doc_id FROM h) AS from_search FROM (SELECT doc_id FROM h UNION SELECT doc_id FROM r WHERE (SELECT count(*) FROM h) < 8)"
+RECENT = "WITH h AS (SELECT doc_id FROM documents WHERE contains(lower(text), 'pathetic') ORDER BY doc_id DESC LIMIT 5), r AS (SELECT doc_id FROM documents ORDER BY doc_id DESC LIMIT 20) SELECT doc_id, doc_id IN (SELECT doc_id FROM h) AS from_search FROM (SELECT doc_id FROM h UNION SELECT doc_id FROM r WHERE (SELECT count(*) FROM h) < 8)"
 
 
 def work_ids(s, d):
@@ -341,29 +341,52 @@ TURNS = _bm25("SELECT conv_id * 1000 + turn AS doc_id, concat_ws(' ', role, text
 
 
 def combined_search(s, d):
-    """Counts of three searches for one word: documents, turns and pages."""
-    docs = t(s, d, "documents").where(F.lower("text").contains("the ")).agg(F.count("*").alias("n")).select(F.lit("articles").alias("kind"), "n")
-    turns = t(s, d, "conversations").where(F.lower("text").contains("the ")).agg(F.count("*").alias("n")).select(F.lit("claims").alias("kind"), "n")
-    pages = search.all_terms(t(s, d, "pages").withColumn("low", F.lower("html")), "low", ["the ", "html"]).agg(F.count("*").alias("n")).select(F.lit("events").alias("kind"), "n")
-    return docs.unionByName(turns).unionByName(pages)
+    """The best ten of three searches for the same words: documents, turns and addresses of pages."""
+    turns = t(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.concat_ws(" ", "role", "text").alias("text"))
+    pages = t(s, d, "pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("text"))
+    out = None
+    for kind, docs in {"articles": t(s, d, "documents"), "claims": turns, "events": pages}.items():
+        hits = search.bm25(docs.select("doc_id", "text"), SOUGHT[kind], 10)
+        hits = hits.select(F.lit(kind).alias("kind"), F.row_number().over(W.orderBy(F.desc("score"), "doc_id")).alias("place"), "doc_id", "score")  # ten rows
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
 
+SOUGHT = {"articles": "pathetic loser the", "claims": "the user", "events": "com html en"}
+_FOUND = {"articles": "SELECT doc_id, text FROM documents", "claims": "SELECT conv_id * 1000 + turn AS doc_id, concat_ws(' ', role, text) AS text FROM conversations", "events": "SELECT page_id AS doc_id, url AS text FROM pages"}
+COMBINED = " UNION ALL ".join(f"SELECT '{k}' AS kind, row_number() OVER (ORDER BY score DESC, doc_id) AS place, doc_id, score FROM ({_bm25(v, SOUGHT[k].split())}) QUALIFY place <= 10" for k, v in _FOUND.items())
 
-COMBINED = "SELECT 'articles' AS kind, count(*) AS n FROM documents WHERE contains(lower(text), 'the ') UNION ALL SELECT 'claims', count(*) FROM conversations WHERE contains(lower(text), 'the ') UNION ALL SELECT 'events', count(*) FROM pages WHERE contains(lower(html), 'the ') AND contains(lower(html), 'html')"
+
+QUESTION = "Who is the pathetic loser that asked about software?"
 
 
 def extractive_answer(s, d):
-    docs = t(s, d, "documents").where("text IS NOT NULL")
-    first = F.trim(F.regexp_extract("text", r"^([^.!?\n]+)", 1))
-    score = F.regexp_count(F.lower("text"), F.lit(r"\bthe\b")).cast("double") / (F.length("text") + 1)
-    ranked = docs.where(F.length(first) >= 12).select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.round(score, 9).alias("score"), first.alias("sentence")).orderBy(F.desc("score"), "doc_id").limit(12)
-    return desk.answer_rows(ranked, ["the"])
-
-
-ANSWER = r"""WITH r AS (SELECT doc_id, coalesce(source, '') AS source, trim(regexp_extract(text, '^([^.!?\n]+)', 1)) AS sentence, round(len(regexp_extract_all(lower(text), '\bthe\b')) / (length(text) + 1), 9) AS score FROM documents WHERE text IS NOT NULL),
-t AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS citation, max(score) OVER () AS best FROM r WHERE length(sentence) >= 12 QUALIFY citation <= 6),
-k AS (SELECT *, 'According to ' || source || ', ' || sentence AS said FROM t WHERE score > 0 OR (best <= 0 AND citation <= 3)),
-o AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lower(said) ORDER BY citation) = 1)
-SELECT row_number() OVER (ORDER BY citation) AS place, doc_id, citation, said || ' [' || citation || ']' AS text FROM o QUALIFY place <= 5"""
+    """A question answered from the best fifty documents that a search for its words finds."""
+    docs = t(s, d, "documents")
+    hits = search.bm25(docs, QUESTION.rstrip("?"), 50).select("doc_id")
+    id_ = F.col("doc_id")
+    a = docs.join(hits, "doc_id").select(id_.alias("article_id"), F.concat(F.lit("Document "), id_).alias("title"), F.when(id_ % 5 == 0, "A pathetic excerpt").alias("excerpt"), F.col("text").alias("body"), F.timestamp_seconds(id_ * 60).alias("at"), "source", (id_ % 11).alias("event_id"), (id_ % 9 == 0).alias("cross_verified"), (id_ % 3).alias("families"), (id_ % 4 == 0).alias("reprint"))
+    out = answers.answer(a, QUESTION, "2026-01-01", ("no reprints",))
+    return out.select("answer", *(F.array_join(F.col(c).cast("array<string>"), "|").alias(c) for c in ("citations", "caveats", "related")))
+
+
+_TERMS = list(dict.fromkeys(w for w in QUESTION.rstrip("?").lower().split() if len(w) > 1))
+
+
+def _relevant(x: str) -> str:
+    return f"len(list_intersect({_TERMS!r}, list_filter(string_split(trim(regexp_replace(lower({x}), '{text.PUNCT}', ' ', 'g')), ' '), lambda w: length(w) > 1 OR regexp_matches(w, '[0-9]')))) / {len(_TERMS)}::DOUBLE"
+
+
+ANSWER = rf"""WITH h AS ({_bm25("SELECT doc_id, text FROM documents", _TERMS)}), a AS (SELECT doc_id, source, 'Document ' || doc_id AS title, CASE WHEN doc_id % 5 = 0 THEN 'A pathetic excerpt' ELSE '' END AS excerpt, trim(coalesce(text, '')) AS body FROM documents WHERE doc_id IN (SELECT doc_id FROM h)),
+b AS (SELECT *, list_concat([CASE WHEN excerpt <> '' THEN excerpt ELSE title END], list_transform(list_filter(list_transform(regexp_extract_all(body, '[^。！？!?
+.]+(?:[。！？!?.]+|$)'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: length(x) >= 12)[1:60], lambda x: CASE WHEN length(x) > 500 THEN left(x, 499) || '…' ELSE x END)) AS offers FROM a),
+o AS (SELECT doc_id, unnest(offers) AS s, generate_subscripts(offers, 1) AS i FROM b), q AS (SELECT doc_id, s, i, {_relevant("s")} AS r FROM o), m AS (SELECT doc_id, s, r FROM q QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY r DESC, i) = 1),
+k AS (SELECT doc_id, source, title, s, round(5 * {_relevant("title")} + 2 * {_relevant("excerpt")} + 3 * r + CASE WHEN doc_id % 9 = 0 OR doc_id % 3 >= 2 THEN 0.35::DOUBLE ELSE 0 END + CASE WHEN doc_id % 4 = 0 THEN 0 ELSE 0.05::DOUBLE END, 6) AS score FROM b JOIN m USING (doc_id)),
+t AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id DESC) AS place, max(score) OVER () AS best FROM k QUALIFY place <= 6), c AS (SELECT *, row_number() OVER (ORDER BY place) AS number, 'According to ' || coalesce(source, '') || ', ' || trim(regexp_replace(regexp_replace(s, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS said FROM t WHERE score > 0 OR best <= 0 AND place <= 3),
+u AS (SELECT place, said || ' [' || number || ']' AS x FROM c QUALIFY row_number() OVER (PARTITION BY lower(said) ORDER BY place) = 1)
+SELECT (SELECT CASE WHEN count(*) = 0 THEN 'As of 2026-01-01, the selected sources do not contain enough information to answer this question.' ELSE 'As of 2026-01-01, the available reporting indicates: ' || array_to_string(list(x ORDER BY place)[1:5], ' ') END FROM u) AS answer,
+ (SELECT coalesce(string_agg('[' || number || '] ' || title || ' — ' || coalesce(source, ''), '|' ORDER BY number), '') FROM c) AS citations, (SELECT 'Material up to 2026-01-01.|Filter: no reprints.|' || CASE WHEN count(*) = 0 THEN 'Nothing in the selection supports a clear answer.|' ELSE '' END || 'Quoted from reports; what a source states is not thereby confirmed.' FROM u) AS caveats,
+ (SELECT coalesce(array_to_string(list_sort(list(DISTINCT doc_id % 11)), '|'), '') FROM c) AS related"""
 
 
 def asked_articles(s, d):
