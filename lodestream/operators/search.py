@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..session import written
+from ..session import spread, written
 
 
 def query_terms(question: str, most: int = 16) -> list[str]:
@@ -24,7 +24,7 @@ def bm25(docs: DataFrame, question: str, limit: int, k1: float = 1.2, b: float =
     """doc_id and score of the best ``limit`` documents; only the question's terms are exploded."""
     terms = query_terms(question)
 
-    words = docs.select("doc_id", F.coalesce(text.tokens(F.col("text")), F.array().cast("array<string>")).alias("w"))
+    words = spread(docs.select("doc_id", "text")).select("doc_id", F.coalesce(text.tokens(F.col("text")), F.array().cast("array<string>")).alias("w"))
     hits = words.select("doc_id", F.size("w").alias("dl"), F.explode_outer(F.filter("w", lambda x: x.isin(terms))).alias("term"))
     tf = written(hits.groupBy("doc_id", "dl").agg(*(F.count_if(F.col("term") == q).alias(f"tf{i}") for i, q in enumerate(terms))))  # for the statistics and the scores: texts are tokenised once
     stats = tf.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing, html, text, urls
 from ..operators import linkage, search
+from ..session import spread
 
 
 def t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -47,7 +48,7 @@ WITH n AS ({URL_NORMALIZED}) SELECT regexp_replace(domain, '^www\\.', '') AS dom
 
 
 def page_plain_text(s, d):
-    return t(s, d, "pages").select("page_id", html.strip_html(F.col("html")).alias("plain"))
+    return spread(t(s, d, "pages").select("page_id", "html")).select("page_id", html.strip_html(F.col("html")).alias("plain"))
 
 
 def _page_sql() -> str:

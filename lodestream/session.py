@@ -31,6 +31,14 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if its scan would leave most of them idle, as that of one small file does; larger inputs stay as they are read."""
+    spark = df.sparkSession
+    cores, piece = spark.sparkContext.defaultParallelism, 128 << 20
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if 4 * size < cores * piece else df
+
+
 @contextmanager
 def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
     """Arrow batches of at most ``size`` while a table is written, so that rows of any length need little memory beside the heap."""
