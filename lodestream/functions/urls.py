@@ -62,3 +62,21 @@ PAYWALLS = "ft.com wsj.com economist.com bloomberg.com nytimes.com washingtonpos
 
 def is_paywalled(u: Column) -> Column:
     return domain(u).rlike("(^|\\.)(" + "|".join(p.replace(".", "\\.") for p in PAYWALLS) + ")$")
+
+
+#: Scheme, user, host, port, path, query and fragment of an absolute web address.
+WEB = r"^\s*([hH][tT][tT][pP][sS]?)://([^/?#@\s]*@)?([^/?#:@\s]+)(:[0-9]*)?([^?#\s]*)(\?[^#\s]*)?(#\S*)?\s*$"
+
+
+def safe_external(u: Column) -> Column:
+    """A web address as a link may hold it: scheme and host in lower case, no usual port, a path; null for anything else."""
+    p = [F.regexp_extract(u, WEB, i) for i in range(8)]
+    scheme, port = F.lower(p[1]), F.regexp_replace(p[4], "^:", "")
+    usual = (port == "") | ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
+    made = F.concat(scheme, F.lit("://"), p[2], F.lower(p[3]), F.when(usual, "").otherwise(F.concat(F.lit(":"), port)), F.when(p[5] == "", "/").otherwise(p[5]), p[6], p[7])
+    return F.when(p[3] != "", made)
+
+
+def shown_host(u: Column, otherwise: str = "link") -> Column:
+    """The host that is shown for a link, without www; ``otherwise`` where the address is no safe one."""
+    return F.when(safe_external(u).isNull(), otherwise).otherwise(F.regexp_replace(F.lower(F.regexp_extract(u, WEB, 3)), r"^www\.", ""))

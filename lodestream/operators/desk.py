@@ -17,6 +17,8 @@ REVIEWED = ("remanded", "approved", "dispatched", "completed")
 STATUSES = ("unverified", "reported", "partially_corroborated", "corroborated", "disputed", "refuted", "outdated")
 #: What an event must be of to stand under a tab.
 TABS = {"domestic": ("country", ("cn",)), "diplomacy": ("topic", ("diplomacy", "defense", "conflict")), "economy": ("topic", ("economy", "policy", "finance", "energy"))}
+#: Topics under the tabs of what is shown already, and names of the own country.
+SHOWN, HOME = {"diplomacy": ("diplomacy", "defense", "conflict", "security"), "economy": ("policy", "economy", "energy", "finance", "tech")}, ("CN", "CHN", "中国")
 #: Categories of sources, and which an event of some topic needs.
 CATEGORIES = ("gov_cn", "official_media_cn", "market_media_cn", "social_cn", "gov_intl", "intl_org", "wire", "intl_media", "local_media", "party_media", "social", "data", "factcheck")
 NEEDED = (
@@ -57,6 +59,14 @@ def event_list(events: DataFrame, cases: DataFrame, *, since: str | None = None,
     return out.orderBy(F.desc("importance"), F.desc("heat"), F.desc("updated"), "event_id").offset(max(0, offset)).limit(max(1, min(limit, 200)))
 
 
+def matches_tab(tab: str) -> Column:
+    """Whether an event that is already shown belongs under a tab, which asks otherwise than the list does. Columns: track_mode, status, topics, countries; every event is under a tab of another name."""
+    among = lambda c, values: F.coalesce(F.arrays_overlap(c, F.array(*map(F.lit, values))), F.lit(False))
+    home = among(F.transform(F.coalesce("countries", F.array().cast("array<string>")), lambda x: F.upper(x)), HOME)
+    tests = {"breaking": F.coalesce((F.col("track_mode") == "breaking") | (F.col("status") == "developing"), F.lit(False)), "domestic": home, "intl": ~home}
+    return tests.get(tab, among(F.coalesce("topics", F.array().cast("array<string>")), SHOWN[tab]) if tab in SHOWN else F.lit(True))
+
+
 def claims_with_evidence(claims: DataFrame, evidence: DataFrame, articles: DataFrame, sources: DataFrame) -> DataFrame:
     """Each claim with its evidence as an array of (article_id, stance, source), in the order of articles; claims without evidence have an empty one."""
     e = evidence.join(articles.select("article_id", "source_id"), "article_id").join(sources.select("source_id", F.col("name").alias("source")), "source_id")

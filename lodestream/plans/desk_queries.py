@@ -92,6 +92,23 @@ a AS (SELECT event_id, string_agg(claim_id::VARCHAR, ',' ORDER BY moment, claim_
 SELECT e.event_id, importance, coalesce(claims, '') AS claims, coalesce(articles, '') AS articles FROM events_ e LEFT JOIN c USING (event_id) LEFT JOIN a USING (event_id)"""
 
 
+def client_tabs(s, d):
+    """How many events stand under each tab of what is shown, and of how many breaking ones."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    topic = lambda n: F.get(F.array(*map(F.lit, ("security", "tech", "health", "policy", "conflict"))), (k % n).cast("int"))
+    country = F.get(F.array(*map(F.lit, ("cn", "CHN", "us", "中国", "fr", "de"))), (c % 6).cast("int"))
+    e = t(s, d, "orders").select(F.when(k % 9 == 0, "breaking").alias("track_mode"), F.when(k % 7 == 0, "developing").otherwise("stable").alias("status"), F.array(topic(5), topic(3)).alias("topics"), F.when(c % 11 > 0, F.array(country)).alias("countries"))
+    out = None
+    for tab in ("breaking", "domestic", "intl", "diplomacy", "economy", "all"):
+        n = e.where(desk.matches_tab(tab)).agg(F.lit(tab).alias("tab"), F.count("*").alias("n"))
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+CLIENT = """WITH e AS (SELECT coalesce(o_orderkey % 9 = 0 OR o_orderkey % 7 = 0, false) AS breaking, o_custkey % 11 > 0 AND o_custkey % 6 IN (0, 1, 3) AS home, [['security', 'tech', 'health', 'policy', 'conflict'][o_orderkey % 5 + 1], ['security', 'tech', 'health'][o_orderkey % 3 + 1]] AS t FROM orders)
+SELECT unnest(['breaking', 'domestic', 'intl', 'diplomacy', 'economy', 'all']) AS tab, unnest([count(*) FILTER (breaking), count(*) FILTER (home), count(*) FILTER (NOT home), count(*) FILTER (list_has_any(t, ['security', 'conflict'])), count(*) FILTER (list_has_any(t, ['tech', 'policy'])), count(*)]) AS n FROM e"""
+
+
 def status_histogram(s, d):
     return desk.histogram(_claims(s, d))
 
@@ -500,6 +517,7 @@ def live_keys(s, d):
 LIVE_KEYS = "SELECT key, value FROM (SELECT user_id AS key, arg_max(event_type, event_id) AS value, max(event_id) AS m FROM events GROUP BY 1) WHERE m % 4 = 0 OR m % 1000 > 500"
 
 PAIRS = {
+    "client_tabs": (client_tabs, CLIENT),
     "event_tabs": (event_tabs, TABS), "claims_nested": (claims_nested, NESTED), "event_detail": (event_detail, DETAIL),  "status_histogram": (status_histogram, HISTOGRAM), "source_list": (source_list, SOURCES), "queue_counts": (queue_counts, QUEUE),
     "alert_inbox": (alert_inbox, INBOX), "active_of_top": (active_of_top, ACTIVE), "fetch_log_named": (fetch_log_named, LOG), "current_reports": (current_reports, REPORTS), "briefing_changes": (briefing_changes, DELTA), "routed_events": (routed_events, ROUTED), "cited_claims": (cited_claims, CITED),
     "party_coverage": (party_coverage, PARTY), "entity_merge": (entity_merge, ENTITY), "topic_merge": (topic_merge, TOPIC), "event_updates": (event_updates, UPDATES), "desk_digest": (desk_digest, DIGEST), "tick_rollup": (tick_rollup, TICKS), "category_top8": (category_top8, TOP8), "next_sequence": (next_sequence, SEQUENCE),

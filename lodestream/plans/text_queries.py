@@ -42,6 +42,19 @@ def url_domain_counts(s, d):
     return p.groupBy(urls.base_domain(F.col("url")).alias("domain")).agg(F.count("*").alias("pages"), F.countDistinct(urls.normalize_url(F.col("url"))).alias("distinct_urls"), F.count_if(urls.public_url_problem(F.col("url")).isNotNull()).alias("refused"))
 
 
+def page_links(s, d):
+    """Addresses of pages as links may hold them, some of them bent first."""
+    k = F.col("page_id")
+    bent = F.when(k % 5 == 0, F.concat(F.lit(" HTTP"), F.expr("substr(url, instr(url, '://'))"), F.lit(" "))).when(k % 5 == 1, F.replace("url", F.lit("://"), F.lit("://WWW."))).when(k % 5 == 2, F.replace("url", F.lit("://"), F.lit(":/"))).when(k % 5 == 3, F.regexp_replace("url", "^(https?://[^/]*).*$", "$1:443#x")).otherwise(F.col("url"))
+    return t(s, d, "pages").select("page_id", urls.safe_external(bent).alias("link"), urls.shown_host(bent).alias("host"))
+
+
+_WEB = r"^(https?)://([^/?#:]+)(:[0-9]*)?([^?#]*)(.*)$"
+LINKS = rf"""WITH b AS (SELECT page_id, trim(CASE page_id % 5 WHEN 0 THEN 'http' || substr(url, position('://' IN url)) WHEN 1 THEN replace(url, '://', '://WWW.') WHEN 2 THEN replace(url, '://', ':/') WHEN 3 THEN regexp_replace(url, '^(https?://[^/]*).*$', '\1:443#x') ELSE url END) AS u FROM pages),
+p AS (SELECT page_id, u, lower(regexp_extract(u, '{_WEB}', 1)) AS s, lower(regexp_extract(u, '{_WEB}', 2)) AS h, regexp_extract(u, '{_WEB}', 3) AS port, regexp_extract(u, '{_WEB}', 4) AS path, regexp_extract(u, '{_WEB}', 5) AS rest FROM b)
+SELECT page_id, CASE WHEN h <> '' THEN s || '://' || h || CASE WHEN port IN ('', ':') OR s = 'http' AND port = ':80' OR s = 'https' AND port = ':443' THEN '' ELSE port END || CASE WHEN path = '' THEN '/' ELSE path END || rest END AS link, CASE WHEN h = '' THEN 'link' ELSE regexp_replace(h, '^www\.', '') END AS host FROM p"""
+
+
 URL_DOMAIN_COUNTS = f"""
 WITH n AS ({URL_NORMALIZED}) SELECT regexp_replace(domain, '^www\\.', '') AS domain, count(*) AS pages, count(DISTINCT url_norm) AS distinct_urls,
   count(*) FILTER (NOT starts_with(url_norm, 'http')) AS refused FROM n GROUP BY 1"""
@@ -203,6 +216,6 @@ CONV = "SELECT conv_id, turn, role, coalesce(lag(role) OVER w = role, false) AS
 PAIRS = {
     "url_normalized": (url_normalized, URL_NORMALIZED), "url_domain_counts": (url_domain_counts, URL_DOMAIN_COUNTS), "page_plain_text": (page_plain_text, _page_sql()), "page_title_norm": (page_title_norm, PAGE_TITLE),
     "doc_tokens": (doc_tokens, DOC_TOKENS), "doc_lang_detect": (doc_lang_detect, _lang_sql()), "doc_numbers": (doc_numbers, DOC_NUMBERS), "doc_exact_families": (doc_exact_families, DOC_EXACT), "doc_family_roots": (doc_family_roots, DOC_ROOTS),
-    "doc_simhash": (doc_simhash, None), "doc_hamming_pairs": (doc_hamming_pairs, None), "doc_jaccard_pairs": (doc_jaccard_pairs, DOC_JACCARD), "reprint_chain_roots": (reprint_chain_roots, CHAIN), "bm25_docs": (bm25_docs, BM25),
+    "page_links": (page_links, LINKS), "doc_simhash": (doc_simhash, None), "doc_hamming_pairs": (doc_hamming_pairs, None), "doc_jaccard_pairs": (doc_jaccard_pairs, DOC_JACCARD), "reprint_chain_roots": (reprint_chain_roots, CHAIN), "bm25_docs": (bm25_docs, BM25),
     "qa_ranked_docs": (qa_ranked_docs, QA), "event_and_search": (event_and_search, EVENT_AND), "watchlist_matches": (watchlist_matches, WATCH), "conversation_turns": (conversation_turns, CONV),
 }
