@@ -104,3 +104,19 @@ def test_what_is_read_grows_with_the_change(spark):
         assert touched.count() == changes
     all_rows = kept.store.read("rows").count()
     assert reads[0] < 0.1 * reads[2] and reads[0] < reads[1] < 0.4 * reads[2] and reads[2] >= all_rows - 3200
+
+
+def test_an_empty_store_under_shuffled_joins(spark):
+    """Adaptive execution drops the stored side of a join that proves empty; how much was read is known all the same."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        kept = q.summaries_of(spark, buckets=4)
+        rows = spark.createDataFrame([(i, i % 3, i % 2, "2024-01-01 00:00", "view") for i in range(20)], q.ROW)
+        first = kept.apply(rows, dimensions=spark.createDataFrame([(0, 5), (1, 6)], q.DIM))
+        assert {(r.key, r.articles, r.families, r.views) for r in first.collect()} == {(0, 7, 2, 7), (1, 7, 2, 7), (2, 6, 2, 6)} and kept.seen["links"] == 0
+        kept.apply(deleted=spark.createDataFrame([(0,), (2,)], "row_id long"))
+        assert {(r.key, r.articles) for r in kept.current().collect()} == {(0, 6), (1, 7), (2, 5)} and kept.seen["rows"] > 0
+    finally:
+        spark.conf.set(key, before)
