@@ -14,6 +14,8 @@ cost: a longer prefix means more postings to scan but asks for more shared token
    one component are cut into blocks, and inside a task each pair of a block is held against a bound from
    parity bitmaps: tokens that only one of two sets holds flip at most one bit each, so sets that differ in
    more bits than similar sets may are no pair. Pairs that pass and share enough tokens are verified exactly.
+   Of tokens that two sets share at most ``BESIDE`` places apart only the first and the last write the pair, with
+   their places, which bounds how many are shared, so that near copies are not written once for every token.
 
 So no link between components is missed, while a group of thousands of near copies never becomes pairs.
 
@@ -44,6 +46,9 @@ MOST_MATCHES, VERIFY_COST = 8, 40.0
 WORD_CACHE = 150_000
 #: Members of a block of a list, and bits of a parity bitmap.
 SIDE, BITS = 512, 512
+#: Tokens looked at on either side of one, among those of its set that are held in lists.
+BESIDE = 4
+BEFORE, BEHIND = ([f"{side}{i}" for i in range(BESIDE)] for side in ("before", "behind"))
 #: A set of n tokens with prefix extension l is written n * NL + l.
 NL = 16
 
@@ -202,11 +207,16 @@ def _verify_batches(num: int, den: int):
 
 
 def _list_batches(num: int, den: int):
-    """Pairs that the bitmaps allow, from runs of equal (token, lo, hi) in sorted rows; a run may go on in the next batch."""
-    names = ["token", "lo", "hi", "doc", "nl", "c", "own"]
-    kinds = ("x", "y", "x_nl", "y_nl")
+    """Pairs that the bitmaps allow, from runs of equal (token, lo, hi) in sorted rows; a run may go on in the next batch.
 
-    def one(x: dict) -> tuple[np.ndarray, np.ndarray] | None:
+    The sum of ``shared`` over the rows of a pair is at least the number of tokens it shares: where none of the last tokens
+    before is shared, a stretch begins, where none of the next behind is, it ends, and the places in the set of the
+    smaller id (``pos``) tell its length. Where fewer stand before or behind, the token itself fills up.
+    """
+    names = ["token", "lo", "hi", "doc", "nl", "c", "own", "pos", *BEFORE, *BEHIND]
+    kinds = ("x", "y", "x_nl", "y_nl", "shared")
+
+    def one(x: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
         own = x["own"]
         left, right = (np.arange(len(own)),) * 2 if x["lo"][0] == x["hi"][0] else (np.flatnonzero(own == x["lo"][0]), np.flatnonzero(own == x["hi"][0]))
         ok = x["c"][left][:, None] != x["c"][right][None, :]
@@ -221,11 +231,14 @@ def _list_batches(num: int, den: int):
             i, j = i[i < j], j[i < j]
         most = (total - 2 * overlap)[i, j]
         i, j = left[i], right[j]
+        i, j = np.where(x["doc"][i] < x["doc"][j], (i, j), (j, i))
         flips = np.zeros(len(i), np.int64)
         for w in range(BITS // 64):
             flips += np.bitwise_count(x["bits"][i, w] ^ x["bits"][j, w])
-        near = flips <= most
-        return i[near], j[near]
+        i, j = i[flips <= most], j[flips <= most]
+        begins, ends = (~np.any([(x[p][i] == x[q][j]) & (x[p][i] != x["token"][0]) for p in names for q in names], axis=0) for names in (BEFORE, BEHIND))
+        told = begins | ends
+        return i[told], j[told], (ends * (x["pos"][i] + 1) - begins * x["pos"][i])[told]
 
     @frugal
 
@@ -238,12 +251,11 @@ def _list_batches(num: int, den: int):
             new = np.flatnonzero((x["token"][1:] != x["token"][:-1]) | (x["lo"][1:] != x["lo"][:-1]) | (x["hi"][1:] != x["hi"][:-1])) + 1
             edges = [0, *new.tolist(), n]
             done = edges if last else edges[:-1]
-            out = ([], [], [], [])
+            out = ([], [], [], [], [])
             for a, b in zip(done, done[1:], strict=False):
                 if b - a > 1 and (got := one({k: v[a:b] for k, v in x.items()})) is not None:
                     i, j = got[0] + a, got[1] + a
-                    i, j = np.where(x["doc"][i] < x["doc"][j], (i, j), (j, i))
-                    for to, column in zip(out, (x["doc"][i], x["doc"][j], x["nl"][i], x["nl"][j]), strict=True):
+                    for to, column in zip(out, (x["doc"][i], x["doc"][j], x["nl"][i], x["nl"][j], got[2]), strict=True):
                         to.append(column)
             rest = None if last else {k: v[edges[-2] :] for k, v in x.items()}
             found = pa.RecordBatch.from_pydict({k: pa.array(np.concatenate(c)) for k, c in zip(kinds, out, strict=True)}) if out[0] else none
@@ -324,13 +336,16 @@ def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, carry: tupl
     placed = shared.select("token", "doc", "nl").join(comp, "doc", "left").withColumn("c", F.coalesce("c", "doc"))
     placed = placed.select("*", F.min("c").over(every).alias("lo"), F.max("c").over(every).alias("hi"), F.count("*").over(every).alias("members")).where("lo < hi")
     placed = placed.select("token", "doc", "nl", "c", F.ceil(F.col("members") / SIDE).cast("int").alias("parts"))
+    held = W.partitionBy("doc").orderBy("token")
+    beside = [F.coalesce(f("token", i + 1).over(held), "token").alias(name) for f, names in ((F.lag, BEFORE), (F.lead, BEHIND)) for i, name in enumerate(names)]
+    placed = placed.repartition("doc").dropDuplicates(["doc", "token"]).select("*", *beside, F.row_number().over(held).cast("long").alias("pos"))
     bits = first.where("token IS NULL AND n_shingles > 0").select(F.col("doc_id").alias("doc"), "bits").join(reps.withColumnRenamed("doc_id", "doc"), "doc", "left_semi").dropDuplicates(["doc"])
     own = placed.join(bits, "doc").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
     own = own.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     group = ["token", "lo", "hi"]
-    own = own.select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "doc", "nl", "c", "own", "bits").repartition(*group).sortWithinPartitions(*group)
-    cross = own.mapInArrow(_list_batches(num, den), "x long, y long, x_nl long, y_nl long").groupBy("x", "y", "x_nl", "y_nl").count()
-    cross = cross.where(F.col("count") >= _candidates(cross, "x", "y", num, den)[1]).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    own = own.select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "doc", "nl", "c", "own", "pos", *BEFORE, *BEHIND, "bits").repartition(*group).sortWithinPartitions(*group)
+    cross = own.mapInArrow(_list_batches(num, den), "x long, y long, x_nl long, y_nl long, shared long").groupBy("x", "y", "x_nl", "y_nl").agg(F.sum("shared").alias("shared"))
+    cross = cross.where(F.col("shared") >= _candidates(cross, "x", "y", num, den)[1]).select(F.col("x").alias("a"), F.col("y").alias("b"))
     more = _verified(written(cross.join(tried, ["a", "b"], "left_anti")), base, k, num, den)
 
     final = connected_components(linked.unionByName(more)).select(F.col("id").alias("rep"), "component")

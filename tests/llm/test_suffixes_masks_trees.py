@@ -184,3 +184,29 @@ def test_intervals_hold_all_products():
     top = 0.9 * (a @ b.T).max()
     met = {(x, y) for i, j in hard_negatives.leaf_pairs(ta, tb, lambda i, j, low, high: high >= top) for x in ta.items(i) for y in tb.items(j)}
     assert {(x, y) for x, y in zip(*np.nonzero(a @ b.T >= top), strict=True)} <= met and len(met) < 70 * 300
+
+
+def test_near_copies_write_few_rows_for_many_shared_tokens():
+    """Pairs that share up to 40 listed tokens write few rows, whose sum bounds what they share from above."""
+    import numpy as np
+    import pyarrow as pa
+
+    from lodestream.llm import ngram_join as nj
+
+    rng = np.random.default_rng(1)
+    sets = {d: np.sort(rng.permutation(40)[:n]) for d, n in ((1, 40), (2, 36), (3, 30), (4, 3))}
+    rows = []
+    for d, s in sets.items():
+        for i, t in enumerate(s.tolist()):
+            near = [[int(s[i + k * step]) if 0 <= i + k * step < len(s) else t for k in range(1, nj.BESIDE + 1)] for step in (-1, 1)]
+            rows.append({"token": t, "lo": 0, "hi": 0, "doc": d, "nl": 200 * nj.NL + 1, "c": d, "own": 0, "pos": i + 1, "bits": bytes(nj.BITS // 8)} | dict(zip(nj.BEFORE, near[0])) | dict(zip(nj.BEHIND, near[1])))
+    rows.sort(key=lambda r: r["token"])
+    batches = [pa.RecordBatch.from_pylist(rows[:50]), pa.RecordBatch.from_pylist(rows[50:])]
+    out = [r for b in nj._list_batches(80, 100)(iter(batches)) for r in b.to_pylist()]
+    pairs = [(a, b) for a in sets for b in sets if a < b]
+    for a, b in pairs:
+        told = [r["shared"] for r in out if (r["x"], r["y"]) == (a, b)]
+        shared = len(np.intersect1d(sets[a], sets[b]))
+        assert (sum(told) >= shared and told) if shared else not told
+        assert len(told) <= 6 < shared or shared <= 3
+    assert len(out) <= 6 * len(pairs)
