@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import opened
 from ..operators import identity, seeds
-from ..session import shared_folder
+from ..session import shared_folder, spread
 from ..sources import feeds, replay
 from .ingest_queries import _turns
 from .text_queries import t
@@ -25,7 +25,7 @@ def opened_summaries(s, d):
     why = F.when(k % 3 == 0, '{"text": "w", "generatedBy": "ai"}').when(k % 3 == 1, '{"text": 4}').otherwise("null")
     base = F.concat(F.lit('{"oneLiner": '), line, F.lit(', "confirmed": '), confirmed, F.lit(', "disputed": [{"positions": [{"number": 12.5}, {"number": "x", "party": "q"}]}], "whyItMatters": '), why, F.lit("}"))
     raw = F.when(k % 6 < 2, base).when(k % 6 == 2, _quoted(base)).when(k % 6 == 3, _quoted(_quoted(base))).when(k % 6 == 4, _quoted(_quoted(_quoted(base)))).otherwise(F.substring(base, 1, 15))
-    x = t(s, d, "orders").select(k.alias("event_id"), opened.summary(opened.opened(raw)).alias("x"))
+    x = spread(t(s, d, "orders").select("o_orderkey")).select(k.alias("event_id"), opened.summary(opened.opened(raw)).alias("x"))
     items = F.array_join(F.transform("x.confirmed", lambda c: F.concat_ws("/", c["text"], c["claim_id"], F.size(c["citations"]).cast("string"))), ";")
     said = F.array_join(F.transform(F.flatten(F.transform("x.disputed", lambda g: g["positions"])), lambda p: F.concat_ws(":", p["party"], F.coalesce(p["number"].cast("string"), F.lit("-")))), ";")
     return x.select("event_id", F.col("x").isNotNull().alias("opened"), F.col("x.one_liner").alias("one_liner"), items.alias("confirmed"), said.alias("disputed"), F.concat_ws("/", "x.why.text", "x.why.by").alias("why"))
@@ -80,11 +80,12 @@ def seeds_of(s, d):
     k, out = F.col("c_custkey"), F.lit(None).cast("string")
     for i, (_, a, b) in enumerate(FAULTS):
         out = F.when(k % len(FAULTS) == i, SEED.replace(a, b) if a else SEED).otherwise(out)
-    return t(s, d, "customer").select(k.alias("key"), F.replace(out, F.lit("%"), k.cast("string")).alias("seed"))
+    return spread(t(s, d, "customer").select("c_custkey")).select(k.alias("key"), F.replace(out, F.lit("%"), k.cast("string")).alias("seed"))
 
 
 def seed_faults(s, d):
-    return seeds.judged(seeds_of(s, d)).select("key", F.explode("faults").alias("fault"))
+    # an inner explode would have the faults found again for each condition that is inferred from it
+    return seeds.judged(seeds_of(s, d)).select("key", F.explode_outer("faults").alias("fault")).where("fault IS NOT NULL")
 
 
 _FAULTS = ", ".join(f"({i}, '{name}')" for i, (name, *_) in enumerate(FAULTS) if name)

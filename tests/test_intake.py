@@ -89,3 +89,15 @@ def test_json_is_opened_as_far_as_it_goes(spark):
     assert (x.one_liner, x.unverified, tuple(x.why), [(g.party, [(i.text, i.status, i.claim_id) for i in g["items"]]) for g in x.statements]) == ("a", [], ("w", "rule"), [("unknown", [("x", "reported", "")])])
     assert [(p.number, p.as_of, p.citation) for p in x.disputed[0].positions] == [(3.0, "d", '{"z":1}'), (None, None, None)] and x.disputed[0].topic == "t"
     assert (rows[9].one_liner, rows[9].confirmed, rows[9].why) == ("", [], None)
+
+
+def test_faults_are_found_once_and_over_all_cores(spark, tmp_path):
+    from lodestream.plans import intake_queries as q
+
+    spark.range(40).withColumnRenamed("id", "c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    made = q.seed_faults(spark, str(tmp_path))
+    conditions = [line for line in made._jdf.queryExecution().optimizedPlan().toString().split("\n") if line.strip(" :+-").startswith("Filter")]
+    assert not any("variant" in line for line in conditions)  # else the rules run once more for each condition
+    assert q.seeds_of(spark, str(tmp_path)).rdd.getNumPartitions() > 1
+    want = {(k, name) for k in range(40) if (name := q.FAULTS[k % len(q.FAULTS)][0])}
+    assert {tuple(r) for r in made.collect()} == want
