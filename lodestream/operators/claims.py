@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import figures, tagging, text
+from ..session import spread
 
 
 def claim_sentences(docs: DataFrame) -> DataFrame:
@@ -14,7 +15,8 @@ def claim_sentences(docs: DataFrame) -> DataFrame:
 
     Repeats go by an aggregate over (doc_id, normalised form), so a long text costs in proportion to its length.
     """
-    parts = docs.select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("i", "sentence"))
+    # an inner explode would have the texts cut again for each condition that is inferred from it; a null sentence has no key
+    parts = spread(docs.select("doc_id", "text")).select("doc_id", F.posexplode_outer(text.sentences(F.col("text"))).alias("i", "sentence"))
     keyed = parts.withColumn("key", text.normalize_text(F.col("sentence"))).where("key <> ''")
     first = keyed.groupBy("doc_id", "key").agg(F.min(F.struct("i", "sentence")).alias("f"))
     place = F.row_number().over(W.partitionBy("doc_id").orderBy("f.i")) - 1
@@ -136,7 +138,7 @@ def claim_drafts(articles: DataFrame, actors: dict[str, dict] | None = None, mos
     lead = (F.col("pos") < 2) | (text.normalize_text(s) == F.col("title_key"))
     generic = F.when(~F.col("statement") & (F.size("figures") == 0) & lead & ~s.rlike(QUESTION), one(F.when(has(s, INTENT), "intent").otherwise("event"))).otherwise(none)
     x = x.withColumn("drafts", F.concat(F.when(F.col("statement"), one(F.lit("statement"))).otherwise(none), found.cast(f"array<{draft}>"), generic))
-    x = x.select("*", F.posexplode("drafts").alias("i", "d"))
+    x = x.select("*", F.posexplode_outer("drafts").alias("i", "d")).where("i IS NOT NULL")  # an inner one would have drafts made again for each condition that is inferred
     stated, figure = F.col("d.type") == "statement", F.col("d.type").isin("casualty", "number")
     # a statement is proved by whoever made it; a fact only by first-hand data that nobody merely states
     primary = F.when(stated, F.col("is_primary") | F.col("is_party")).otherwise(F.col("is_primary") & ~F.col("is_party") & F.coalesce(F.col("category").isin(*FIRST_HAND), F.lit(False)) & ~(figure & F.col("statement")))

@@ -66,3 +66,12 @@ def test_evidence(spark):
     d = drafts(spark, ("The bridge is shut", None, "data", False, None, True))
     (r,) = claims.evidence(d, spark.createDataFrame([(0, "f")], "article_id long, family_key string")).collect()
     assert (r.stance, r.has_primary, r.family_key) == ("supports", True, "f")
+
+
+def test_texts_are_cut_once_and_over_all_cores(spark, tmp_path):
+    path = f"{tmp_path}/docs"
+    spark.createDataFrame([(1, "One is here. Two is there.\n"), (2, None), (3, ""), (4, "...")], "doc_id long, text string").coalesce(1).write.parquet(path)
+    made = claims.claim_sentences(spark.read.parquet(path))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and "Repartition" in plan
+    assert sorted(tuple(r) for r in made.collect()) == [(1, 0, "One is here."), (1, 1, "Two is there.")]
