@@ -92,8 +92,6 @@ def test_json_is_opened_as_far_as_it_goes(spark):
 
 
 def test_faults_are_found_once_and_over_all_cores(spark, tmp_path):
-    from lodestream.plans import intake_queries as q
-
     spark.range(40).withColumnRenamed("id", "c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
     made = q.seed_faults(spark, str(tmp_path))
     conditions = [line for line in made._jdf.queryExecution().optimizedPlan().toString().split("\n") if line.strip(" :+-").startswith("Filter")]
@@ -101,3 +99,10 @@ def test_faults_are_found_once_and_over_all_cores(spark, tmp_path):
     assert q.seeds_of(spark, str(tmp_path)).rdd.getNumPartitions() > 1
     want = {(k, name) for k in range(40) if (name := q.FAULTS[k % len(q.FAULTS)][0])}
     assert {tuple(r) for r in made.collect()} == want
+
+
+def test_summaries_are_opened_over_all_cores(spark, tmp_path):
+    spark.range(80).withColumnRenamed("id", "o_orderkey").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    made = q.opened_summaries(spark, str(tmp_path))
+    assert made.rdd.getNumPartitions() > 1
+    assert {r.event_id for r in made.where("opened").collect()} == {k for k in range(80) if k % 6 < 4}
