@@ -15,8 +15,7 @@ def claim_sentences(docs: DataFrame) -> DataFrame:
 
     Repeats go by an aggregate over (doc_id, normalised form), so a long text costs in proportion to its length.
     """
-    # an inner explode would have the texts cut again for each condition that is inferred from it; a null sentence has no key
-    parts = spread(docs.select("doc_id", "text")).select("doc_id", F.posexplode_outer(text.sentences(F.col("text"))).alias("i", "sentence"))
+    parts = spread(docs.select("doc_id", "text")).select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("i", "sentence"))
     keyed = parts.withColumn("key", text.normalize_text(F.col("sentence"))).where("key <> ''")
     first = keyed.groupBy("doc_id", "key").agg(F.min(F.struct("i", "sentence")).alias("f"))
     place = F.row_number().over(W.partitionBy("doc_id").orderBy("f.i")) - 1

@@ -68,7 +68,7 @@ def test_evidence(spark):
     assert (r.stance, r.has_primary, r.family_key) == ("supports", True, "f")
 
 
-def test_texts_are_cut_once_and_over_all_cores(spark, tmp_path):
+def test_texts_are_cut_over_all_cores(spark, tmp_path):
     path = f"{tmp_path}/docs"
     spark.createDataFrame([(1, "One is here. Two is there.\n"), (2, None), (3, ""), (4, "...")], "doc_id long, text string").coalesce(1).write.parquet(path)
     made = claims.claim_sentences(spark.read.parquet(path))
