@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from lodestream.functions import automaton, tagging
 from lodestream.operators import answers, briefing, desk
+from lodestream.plans import catalog
 from lodestream.streaming import slots
 
 NOW = datetime(2024, 5, 1)
+DIR = "/root/testdata/sf0.001"
 
 
 def test_tabs_and_reviewed_states(spark):
@@ -113,3 +115,11 @@ def test_answer(spark):
     assert [x.score for x in answers.ranked(a, "port").orderBy("article_id").collect()] == [8.05, 0.0, 8.05]
     none = answers.answer(a.where("false"), "anything", "2024-06-01", ("x",)).first()
     assert none.answer.startswith("As of 2024-06-01, the selected sources do not") and none.citations == [] and none.caveats[1:3] == ["Filter: x.", "Nothing in the selection supports a clear answer."]
+
+
+def test_topics_are_merged_once(spark):
+    """No topic or category has the groups or rules tried again for it."""
+    plan = catalog.queries()["topic_merge"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan
+    x = spark.range(1).select(desk.merge_topics(("x", "y"), F.lit(None).cast("array<string>")).alias("none"), F.array_join(desk.needed_categories(F.lit(None).cast("array<string>"), F.array(F.lit("cn"))), ",").alias("needed")).first()
+    assert x.none == [] and x.needed == ""
