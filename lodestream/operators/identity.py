@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import checkpoint, written
+from ..session import written
 
 #: Articles of an identity that one task puts in order.
 RUN = 100_000
@@ -29,17 +29,17 @@ def identities(articles: DataFrame) -> DataFrame:
     edges = keys_of(articles)
     shared = edges.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     edges = written(edges.join(shared.select("key"), "key", "left_semi"))
-    at = checkpoint(edges.select("article_id", F.col("article_id").alias("low")).distinct())
+    held = edges.withColumn("low", F.col("article_id"))  # each article's keys with what it has found so far
     while True:
-        by_key = edges.join(at, "article_id").groupBy("key").agg(F.min("low").alias("low"))
-        spread = edges.join(by_key, "key").groupBy("article_id").agg(F.min("low").alias("low"))
+        by_key = held.groupBy("key").agg(F.min("low").alias("found"))
+        spread = held.join(by_key, "key").groupBy("article_id").agg(F.min("low").alias("old"), F.min("found").alias("low"))
         # what the smallest id itself has found is found by all that hold it
         jump = spread.select(F.col("article_id").alias("low"), F.col("low").alias("further"))
-        new = checkpoint(spread.join(jump, "low", "left").select("article_id", F.least("low", F.coalesce("further", "low")).alias("low")))
-        moved = new.join(at.withColumnRenamed("low", "old"), "article_id").where("low <> old").limit(1).count()
-        at = new
-        if not moved:
+        at = written(spread.join(jump, "low", "left").select("article_id", "old", F.least("low", F.coalesce("further", "low")).alias("low")))
+        if not at.where("low <> old").limit(1).count():
+            at = at.drop("old")
             return articles.select("article_id").distinct().join(at, "article_id", "left").select("article_id", F.coalesce("low", "article_id").alias("identity"))
+        held = edges.join(at.drop("old"), "article_id")
 
 
 def arrivals(articles: DataFrame, found: DataFrame) -> DataFrame:

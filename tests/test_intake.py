@@ -106,3 +106,13 @@ def test_summaries_are_opened_over_all_cores(spark, tmp_path):
     made = q.opened_summaries(spark, str(tmp_path))
     assert made.rdd.getNumPartitions() > 1
     assert {r.event_id for r in made.where("opened").collect()} == {k for k in range(80) if k % 6 < 4}
+
+
+def test_a_round_of_identities_says_what_moved(spark, monkeypatch):
+    """Each round writes one table, which holds what an article had before, so none is joined again to see whether anything moved."""
+    tables, write = [], identity.written
+    monkeypatch.setattr(identity, "written", lambda df: tables.append(df.columns) or write(df))
+    rows = [(i, f"u{i // 2}", f"u{(i + 1) // 2}", None, None) for i in range(12)]
+    a = spark.createDataFrame(rows, "article_id long, canonical_url string, normalized_url string, source_id long, guid string")
+    assert {r.identity for r in identity.identities(a).collect()} == {0}
+    assert 2 <= len(tables[1:]) <= 6 and all("old" in columns for columns in tables[1:])
