@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,7 +13,12 @@ from ..session import spread
 
 
 def claim_sentences(docs: DataFrame) -> DataFrame:
-    """doc_id, pos (from 0) and sentence, each normalised form once per document, at its first place.
+    """doc_id, pos (from 0) and sentence, each normalised form once per document, at its first place."""
+    return keyed_sentences(docs).drop("key")
+
+
+def keyed_sentences(docs: DataFrame) -> DataFrame:
+    """claim_sentences() with their normalised form as key.
 
     Repeats go by an aggregate over (doc_id, normalised form), so a long text costs in proportion to its length.
     """
@@ -19,11 +26,13 @@ def claim_sentences(docs: DataFrame) -> DataFrame:
     keyed = parts.withColumn("key", text.normalize_text(F.col("sentence"))).where("key <> ''")
     first = keyed.groupBy("doc_id", "key").agg(F.min(F.struct("i", "sentence")).alias("f"))
     place = F.row_number().over(W.partitionBy("doc_id").orderBy("f.i")) - 1
-    return first.select("doc_id", place.alias("pos"), F.col("f.sentence").alias("sentence"))
+    return first.select("doc_id", place.alias("pos"), F.col("f.sentence").alias("sentence"), "key")
 
 
 #: Words that mark statements, intentions, questions and corrections; the second of a pair is for Latin letters.
 STATEMENT = (r"声称|表示|(?<![名简俗])称(?!为|谓|号)|宣布|通报|发布声明|证实|否认|指责|警告|据.+?(?:称|表示|通报)", r"\b(?:said|says|stated|claimed|announced|reported|confirmed|denied|warned|according to)\b")
+#: Each alternative of STATEMENT holds one of these, so a folded sentence without them is told by plain searches.
+STATED = ("said", "says", "stated", "claimed", "announced", "reported", "confirmed", "denied", "warned", "according to", "称", "表示", "宣布", "通报", "发布声明", "证实", "否认", "指责", "警告")
 INTENT = ("计划|拟议|准备|将会|将于|打算|寻求|承诺|威胁|呼吁", r"\b(?:plans? to|intends? to|will|would|seeks? to|pledged to|threatened to|called on)\b")
 UPDATE = ("修正|更正|更新为|上调至|下调至|此前为", r"\b(?:corrected|revised|updated to|raised to|lowered to|previously)\b")
 QUESTION = r"[?？]\s*$"
@@ -46,6 +55,11 @@ def has(s: Column, pair: tuple[str, str]) -> Column:
     return s.rlike("(?i)" + "|".join(pair))
 
 
+def states(s: Column, key: Column) -> Column:
+    """has() of STATEMENT; ``key`` is the sentence's normalised form."""
+    return reduce(lambda a, b: a | b, (F.contains(key, F.lit(w)) for w in STATED)) & has(s, STATEMENT)
+
+
 def source_kind(adapter: Column, category: Column, is_party: Column) -> Column:
     by_category = F.create_map(*(F.lit(x) for kv in KINDS.items() for x in kv))
     party = F.when(is_party, "party")
@@ -114,7 +128,8 @@ def claim_drafts(articles: DataFrame, actors: dict[str, dict] | None = None, mos
     event, type, text, party, speaker, figure, unit, qualifier and time give equal ids, so that articles share claims. Articles
     without text have none. ``most`` keeps the first claims of each article only.
 
-    One aggregate for the distinct sentences and one join back by article; figures are read in Arrow batches.
+    One aggregate for the distinct sentences and one join back by article; figures are read in Arrow batches. Speakers and
+    dates are looked for behind the explode, in sentences that give a draft alone.
     """
     empty = F.lit("")
     whole = articles.select(F.col("article_id").alias("doc_id"), F.concat_ws("\n", *(F.nullif(F.coalesce(c, empty), empty) for c in (text.compact(F.col("title")), "excerpt", "body"))).alias("text"))
@@ -124,8 +139,7 @@ def claim_drafts(articles: DataFrame, actors: dict[str, dict] | None = None, mos
         source_kind(F.coalesce("adapter", empty), F.coalesce("category", empty), F.coalesce("is_party", F.lit(False))).alias("kind"),
     )
     s = F.col("sentence")
-    x = claim_sentences(whole).join(about, "doc_id").withColumn("statement", F.col("is_party") | has(s, STATEMENT))
-    x = x.withColumns({"who": attribution(s, actors or {}), "figures": figures.figures_of(s), "told_as_of": as_of(s, F.col("published_at")), "told_at": claim_date(s, F.col("published_at"))})
+    x = keyed_sentences(whole).join(about, "doc_id").withColumns({"statement": F.col("is_party") | states(s, F.col("key")), "figures": figures.figures_of(s)})
     draft = "struct<type: string, number: double, unit: string, qualifier: string>"
 
     def one(kind: Column) -> Column:
@@ -134,16 +148,17 @@ def claim_drafts(articles: DataFrame, actors: dict[str, dict] | None = None, mos
 
     none = F.array().cast(f"array<{draft}>")
     found = F.array_distinct(F.transform("figures", lambda f: F.struct(f["kind"].alias("type"), f["number"].alias("number"), f["unit"].alias("unit"), f["qualifier"].alias("qualifier"))))
-    lead = (F.col("pos") < 2) | (text.normalize_text(s) == F.col("title_key"))
+    lead = (F.col("pos") < 2) | (F.col("key") == F.col("title_key"))
     generic = F.when(~F.col("statement") & (F.size("figures") == 0) & lead & ~s.rlike(QUESTION), one(F.when(has(s, INTENT), "intent").otherwise("event"))).otherwise(none)
     x = x.withColumn("drafts", F.concat(F.when(F.col("statement"), one(F.lit("statement"))).otherwise(none), found.cast(f"array<{draft}>"), generic))
     x = x.select("*", F.posexplode_outer("drafts").alias("i", "d")).where("i IS NOT NULL")  # an inner one would have drafts made again for each condition that is inferred
+    x = x.withColumns({"who": attribution(s, actors or {}), "told_as_of": as_of(s, F.col("published_at")), "told_at": claim_date(s, F.col("published_at"))})
     stated, figure = F.col("d.type") == "statement", F.col("d.type").isin("casualty", "number")
     # a statement is proved by whoever made it; a fact only by first-hand data that nobody merely states
     primary = F.when(stated, F.col("is_primary") | F.col("is_party")).otherwise(F.col("is_primary") & ~F.col("is_party") & F.coalesce(F.col("category").isin(*FIRST_HAND), F.lit(False)) & ~(figure & F.col("statement")))
     when = F.when(stated | figure, F.col("told_as_of"))
     iso = F.coalesce(F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), empty)
-    key = F.concat_ws("|", F.col("event_id").cast("string"), "d.type", text.normalize_text(s), *(F.coalesce(c, empty) for c in ("who.party", "who.claimed_by", shown(F.col("d.number")), "d.unit", iso, "d.qualifier")))
+    key = F.concat_ws("|", F.col("event_id").cast("string"), "d.type", "key", *(F.coalesce(c, empty) for c in ("who.party", "who.claimed_by", shown(F.col("d.number")), "d.unit", iso, "d.qualifier")))
     out = x.select(
         F.concat(F.lit("clm_"), F.substring(F.sha2(key, 256), 1, 16)).alias("id"), "event_id", F.col("doc_id").alias("article_id"), "pos", s.alias("text"), F.col("d.type").alias("type"),
         F.col("who.claimed_by").alias("claimed_by"), F.col("who.kind").alias("claimed_by_kind"), F.col("who.party").alias("party"), F.col("d.number").alias("number"), F.col("d.unit").alias("unit"), F.col("d.qualifier").alias("qualifier"),

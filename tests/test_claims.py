@@ -4,7 +4,7 @@ from datetime import datetime
 
 import pytest
 
-from lodestream.functions import figures
+from lodestream.functions import figures, text
 from lodestream.operators import claims
 
 
@@ -75,3 +75,18 @@ def test_texts_are_cut_over_all_cores(spark, tmp_path):
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 1 and "Repartition" in plan
     assert sorted(tuple(r) for r in made.collect()) == [(1, 0, "One is here."), (1, 1, "Two is there.")]
+
+
+def test_speakers_and_dates_are_sought_in_drafts_alone(spark):
+    lines = ["The bridge is shut.", "It is long.", "Nobody came here."] * 2 + [f"Plain words {'x' * i}." for i in range(1, 9)] + ["Jane Roe denied it on 2026-07-03!", "据悉，官员称 it."]
+    made = drafts(spark, (None, "\n".join(lines), "wire", False, None, None))
+    above, below = made._jdf.queryExecution().optimizedPlan().toString().split("Generate posexplode", 1)
+    assert "截至" in above and "截至" not in below and below.count("ArrowEvalPython") == 1 and "when" in below.lower()
+    assert {(r.type, r.claimed_by) for r in made.collect()} == {("event", None), ("statement", "Jane Roe"), ("statement", "官员")}
+
+
+def test_statements_by_plain_searches_first(spark):
+    said = ["He SAID so", "she says", "it stated", "X claimed", "Announced", "reported", "confirmed", "denied", "warned", "According to X", "声称", "表示", "他称是", "宣布", "通报", "发布声明", "证实", "否认", "指责", "警告", "据说他表示", "unsaid", "称为", "plain", "", "accor\nding to"]
+    df = spark.createDataFrame([(x,) for x in said], "s string")
+    rows = df.select(claims.has(df.s, claims.STATEMENT).alias("a"), claims.states(df.s, text.normalize_text(df.s)).alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows] == [True] * 21 + [False] * 5
