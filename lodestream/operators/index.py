@@ -14,12 +14,16 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..session import shared_folder, written
+from ..session import shared_folder, spread, written
 from .search import query_terms
 from .store import Store
 
@@ -31,6 +35,37 @@ TABLES = {
     "totals": ("n long, dl long", "n"),
 }
 SPAN = 4096
+#: Tasks that write a bucket of postings, and the most repeated ids that are broadcast.
+PARTS, BROADCAST_IDS = 16, 1_000_000
+
+
+def counted(words: pa.Array) -> pa.Array:
+    """The distinct words of each list and how often each occurs."""
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(words), 0), np.int64)
+    codes = words.flatten().dictionary_encode()
+    n = max(1, len(codes.dictionary))
+    keys, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes) * n + codes.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    ends = np.searchsorted(keys // n, np.arange(len(sizes) + 1))
+    found = pa.StructArray.from_arrays([codes.dictionary.take(pa.array(keys % n)), pa.array(tf.astype(np.int32))], names=["term", "tf"])
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), found)
+
+
+def _counted_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pc.list_value_length(b.column(1)), counted(b.column(1))], names=["doc_id", "dl", "terms"])
+
+
+def greatest(docs: DataFrame) -> DataFrame:
+    """Of rows that repeat a doc_id the one with the greatest text. Repeated ids are sought first, so that texts without one are not shuffled."""
+    again = written(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    n = again.count()
+    if not n:
+        return docs.select("doc_id", "text")
+    if n > BROADCAST_IDS:
+        return docs.groupBy("doc_id").agg(F.max("text").alias("text"))
+    few = F.broadcast(again)
+    more = docs.join(few, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+    return docs.join(few, "doc_id", "left_anti").select("doc_id", "text").unionByName(more)
 
 
 class Index:
@@ -49,20 +84,19 @@ class Index:
     def put(self, docs: DataFrame, deleted: DataFrame | None = None) -> int:
         """Insert or replace ``docs`` (doc_id, text) and remove the ids of ``deleted`` (doc_id); returns the generation."""
         s = self.store
-        new = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("text").alias("text"))
-        w = written(new.select("doc_id", text.tokens(F.col("text")).alias("w")))
-        row = w.select("doc_id", F.size("w").alias("dl"), F.array_distinct("w").alias("words"), F.lit(True).alias("alive"))
+        w = written(spread(greatest(docs.where("doc_id IS NOT NULL"))).select("doc_id", text.tokens(F.col("text")).alias("w")).mapInArrow(_counted_batches, "doc_id long, dl int, terms array<struct<term: string, tf: int>>"))
+        row = w.select("doc_id", "dl", F.transform("terms", lambda x: x["term"]).alias("words"), F.lit(True).alias("alive"))
         if deleted is not None:
             gone = deleted.select("doc_id").distinct().join(w.select("doc_id"), "doc_id", "left_anti")
             row = row.unionByName(gone.select("doc_id", F.lit(0).alias("dl"), F.array().cast("array<string>").alias("words"), F.lit(False).alias("alive")))
-        row = written(row)
         old = written(self._latest(row.select("doc_id")))
-        tf = w.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
-        per = tf.groupBy("term", F.floor(F.col("doc_id") / self.span).alias("block"))  # a block holds ``span`` documents at most
-        s.write("postings", per.agg(F.array_sort(F.collect_list(F.struct("doc_id", "tf", "dl"))).alias("docs"), F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl")))
-        counted = row.where("alive").select(F.explode("words").alias("term"), F.lit(1).alias("n")).unionByName(old.select(F.explode("words").alias("term"), F.lit(-1).alias("n")))
-        s.write("terms", counted.groupBy("term").agg(F.sum("n").alias("df")).where("df <> 0"))
-        s.write("docs", row)
+        tf = w.select("doc_id", "dl", F.inline("terms")).withColumns({"bucket": s.bucket("postings"), "block": F.floor(F.col("doc_id") / self.span)})  # a block holds ``span`` documents at most
+        # postings are shuffled once, to the task that gathers and writes them; a bucket is several tasks, and so is a frequent term
+        per = tf.withColumn("part", F.pmod(F.hash("term", "block"), F.lit(PARTS))).repartition("bucket", "part").groupBy("bucket", "part", "term", "block")
+        s.write("postings", per.agg(F.array_sort(F.collect_list(F.struct("doc_id", "tf", "dl"))).alias("docs"), F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl")), placed=True)
+        changed = row.where("alive").select(F.explode("words").alias("term"), F.lit(1).alias("n")).unionByName(old.select(F.explode("words").alias("term"), F.lit(-1).alias("n")))
+        s.write("terms", changed.groupBy("term").agg(F.sum("n").alias("df")).where("df <> 0"))
+        s.write("docs", row, placed=True)
         s.write("void", old.select("doc_id"))
         sums = row.where("alive").select("dl", F.lit(1).alias("n")).unionByName(old.select((-F.col("dl")).alias("dl"), F.lit(-1).alias("n")))
         s.write("totals", sums.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl")))

@@ -36,11 +36,11 @@ class Store:
     def bucket(self, name: str) -> Column:
         return F.pmod(F.xxhash64(F.col(self.tables[name][1])), F.lit(self.buckets)).cast("int")
 
-    def write(self, name: str, rows: DataFrame) -> None:
-        """Rows of the generation that the next commit makes valid, sorted by key inside a bucket so that row groups can be skipped too."""
+    def write(self, name: str, rows: DataFrame, placed: bool = False) -> None:
+        """Rows of the generation that the next commit makes valid, sorted by key inside a bucket so that row groups can be skipped too; ``placed`` rows are written by the tasks that hold them, without a shuffle."""
         key = self.tables[name][1]
-        placed = rows.select(*names(self.tables[name][0])).withColumn("bucket", self.bucket(name))
-        placed.repartitionByRange("bucket", key).sortWithinPartitions("bucket", key).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}/gen={self.last + 1}")
+        rows = rows.select(*names(self.tables[name][0])).withColumn("bucket", self.bucket(name))
+        (rows if placed else rows.repartitionByRange("bucket", key)).sortWithinPartitions("bucket", key).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}/gen={self.last + 1}")
 
     def commit(self, generation: int | None = None) -> int:
         self.last = self.last + 1 if generation is None else generation

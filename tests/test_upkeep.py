@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,3 +121,16 @@ def test_an_empty_store_under_shuffled_joins(spark):
         assert {(r.key, r.articles) for r in kept.current().collect()} == {(0, 6), (1, 7), (2, 5)} and kept.seen["rows"] > 0
     finally:
         spark.conf.set(key, before)
+
+
+def test_an_index_shuffles_no_texts_and_each_posting_once(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (2, None), (3, "b")], "doc_id long, text string")
+    assert "Aggregate" not in index.greatest(docs)._jdf.queryExecution().optimizedPlan().toString()
+    again = index.greatest(docs.unionByName(spark.createDataFrame([(1, "c"), (2, "a")], "doc_id long, text string")))
+    assert sorted(map(tuple, again.collect())) == [(1, "c"), (2, "a"), (3, "b")]
+    assert index.counted(pa.array([["a", "b", "a"], None, [], ["b"]])).to_pylist() == [[{"term": "a", "tf": 2}, {"term": "b", "tf": 1}], [], [], [{"term": "b", "tf": 1}]]
+    store = Store(spark, f"{index.shared_folder(spark)}/placed", {"x": ("k long", "k")}, 4)
+    before = spark.range(8, numPartitions=1).select(F.col("id").alias("k"))
+    store.write("x", before, placed=True)
+    store.commit()
+    assert sorted(r.k for r in store.read("x", store.touched("x", before.where("k < 2"))).where("k < 2").collect()) == [0, 1]
